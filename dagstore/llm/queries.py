@@ -5,14 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dagstore.llm import media, packing, secrets
+from dagstore.llm import decontaminate, html_extract, langid, media, packing, secrets
+from dagstore.llm.runtime import crc_mod
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", items, "contaminated")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -25,10 +33,24 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_payloads(table(spark, sf_dir, "documents"), keep=False)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = crc_mod(F.col("doc_id"), 4) == 2
+    found = langid.identify(docs, docs.filter(~held))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "distance")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_secret_scans": op5_secret_scans,
     "op6_media_columns": op6_media_columns,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {}
