@@ -24,6 +24,7 @@ import codecs
 import os
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import regex
@@ -34,9 +35,8 @@ from dagstore.llm import runtime as rt
 
 CAPACITY = 4096
 SEPARATOR = 1
-CACHE_WORDS, CACHE_RUNS = 400_000, 300_000  # ids kept in a worker; then it starts anew
+CACHE_WORDS, CACHE_RUNS = 800_000, 500_000  # ids kept in a worker; then it starts anew
 LONG_WORD = 64
-MARK = b"\xff\xff\xff\xff"  # between words; no vocabulary has this id
 
 #: Runs that the vocabulary's own pattern makes of plain Latin words without apostrophes.
 RUN = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+| ")
@@ -55,6 +55,46 @@ def _byte_chars() -> str:
 BYTE_CHARS = _byte_chars()
 
 
+class Store(dict):
+    """Keys by number, and the ids of each in one buffer.  A key asked for that isn't there gets the next number and waits in new."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+        self.at, self.size, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, "<u4"), 0
+
+    def __missing__(self, key: str) -> int:
+        k = self[key] = len(self)
+        self.new.append(key)
+        return k
+
+    def add(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """The ids of the keys that wait, in turn."""
+        n, first = len(self), len(self) - len(sizes)
+        while n > len(self.at):
+            self.at, self.size = np.append(self.at, np.zeros_like(self.at)), np.append(self.size, np.zeros_like(self.size))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        self.at[first:n], self.size[first:n] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.new = []
+
+    def gather(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each key, and all ids in turn."""
+        size = self.size[keys]
+        ends = np.cumsum(size)
+        return size, self.ids[np.repeat(self.at[keys] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _as_bytes(text: str) -> str:
+    return codecs.charmap_decode(text.encode(), "strict", BYTE_CHARS)[0]
+
+
+def _after_bar(ids: np.ndarray, bar: int) -> np.ndarray:
+    return ids[1:] if len(ids) and ids[0] == bar else ids
+
+
 class WordTokenizer:
     """Ids of a text as little-endian uint32 bytes, for the lower-cased word-end BPE whose tokens never cross white space.
 
@@ -72,44 +112,79 @@ class WordTokenizer:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.runs_only = Tokenizer(self.tokenizer.model)
         self.runs_only.pre_tokenizer = WhitespaceSplit()
-        self.seen: dict[str, bytes] = {"": b""}
-        self.runs: dict[str, bytes] = {" ": MARK}
+        self.bar = self._run_ids("|")
+        self.words, self.runs = Store(), self._runs()
+
+    def _runs(self) -> Store:
+        runs = Store()
+        for key, ids in ((" ", []), ("|", self.bar)):
+            runs[key]
+            runs.add(np.array([len(ids)]), np.array(ids, "<u4"))
+        return runs
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Ids of new words of plain Latin script."""
+    def _run_ids(self, run: str) -> list[int]:
+        return self.runs_only.encode(_as_bytes(run), add_special_tokens=False).ids
+
+    def _learn_runs(self) -> None:
+        """Ids of new runs by one call over all of them, a bar between each two; a run that holds a bar itself goes alone."""
+        new = self.runs.new
+        ids = np.array(self.runs_only.encode_batch_fast([_as_bytes(" | ".join(r for r in new if "|" not in r))], add_special_tokens=False)[0].ids, "<u4")
+        bars = np.flatnonzero(ids == self.bar[0])
+        if not any("|" in r for r in new):
+            self.runs.add(np.diff(np.concatenate(([-1], bars, [len(ids)]))) - 1, np.delete(ids, bars))
+            return
+        parts = iter(np.split(ids, bars))
+        every = [np.array(self._run_ids(r), "<u4") if "|" in r else _after_bar(next(parts), self.bar[0]) for r in new]
+        self.runs.add(np.array([len(e) for e in every]), np.concatenate(every))
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         runs = RUN.findall(" ".join(words).lower())
-        new = list(set(runs) - self.runs.keys())
-        if new:
-            joined = " ".join(new)
-            e = self.runs_only.encode(codecs.charmap_decode(joined.encode(), "strict", BYTE_CHARS)[0], add_special_tokens=False)
-            at = np.array([a for a, _ in e.offsets], np.int64)
-            cut = (4 * np.searchsorted(at, np.cumsum([0] + [len(w.encode()) + 1 for w in new]))).tolist()
-            raw = np.array(e.ids, "<u4").tobytes()
-            self.runs.update(zip(new, (raw[a:b] for a, b in zip(cut, cut[1:], strict=False)), strict=True))
-        raw = b"".join(map(self.runs.__getitem__, runs))
-        ends = (4 * np.flatnonzero(np.frombuffer(raw, "<u4") == 0xFFFFFFFF)).tolist()
-        self.seen.update(zip(words, (raw[a:b] for a, b in zip([0, *(x + 4 for x in ends)], [*ends, len(raw)], strict=True)), strict=True))
+        keys = np.fromiter(map(self.runs.__getitem__, runs), np.int64, len(runs))
+        if self.runs.new:
+            self._learn_runs()
+        size, ids = self.runs.gather(keys)
+        done = np.concatenate(([0], np.cumsum(size)))
+        return np.diff(np.concatenate(([0], done[np.flatnonzero(keys == 0)], [done[-1]]))), ids
+
+    def _learn(self) -> None:
+        new = self.words.new
+        odd = {w for w in new if len(w) > LONG_WORD or ODD.search(w)} if max(map(len, new)) > LONG_WORD or ODD.search(" ".join(new)) else ()
+        if not odd:
+            self.words.add(*self._plain(new))
+            return
+        plain = [w for w in new if w not in odd]
+        sizes, ids = self._plain(plain) if plain else (np.zeros(0, np.int64), np.zeros(0, "<u4"))
+        parts = iter(np.split(ids, np.cumsum(sizes)[:-1]))
+        every = [np.frombuffer(self.encode(w), "<u4") if w in odd else next(parts) for w in new]
+        self.words.add(np.array([len(e) for e in every]), np.concatenate(every))
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        if len(self.seen) > CACHE_WORDS:
-            self.seen = {"": b""}
+        if len(self.words) > CACHE_WORDS:
+            self.words = Store()
         if len(self.runs) > CACHE_RUNS:
-            self.runs = {" ": MARK}
-        new = list(words - self.seen.keys())
-        odd = [w for w in new if len(w) > LONG_WORD or ODD.search(w)] if ODD.search(" ".join(new)) or max(map(len, new), default=0) > LONG_WORD else []
-        plain = list(set(new).difference(odd)) if odd else new
-        if plain:
-            self.learn(plain)
-        other = {w: self.encode(w) for w in odd}
-        if not other:
-            get = self.seen.__getitem__
-            return [b"".join(map(get, s)) for s in split]
-        return [b"".join(other[w] if w in other else self.seen[w] for w in s) for s in split]
+            self.runs = self._runs()
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        n = np.array([len(s) for s in split], np.int64)
+        keys = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
+        if self.words.new:
+            self._learn()
+        size, ids = self.words.gather(keys)
+        ends = (4 * np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(n)))]).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def tokenizer(path: str) -> WordTokenizer:
+    """The worker's own tokenizer, kept with its words from task to task."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
 
 
 def default_vocabulary() -> str:
@@ -126,9 +201,8 @@ def tokenize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     schema = rt.arrow_schema(ddl)
 
     def run(batches):
-        tok, end = None, separator.to_bytes(4, "little")
+        tok, end = tokenizer(path), separator.to_bytes(4, "little")
         for b in rt.slices(batches):
-            tok = tok or WordTokenizer(path)
             out = []
             for i, raw in zip(b.column(0).to_pylist(), tok.encode_texts([t or "" for t in b.column(1).to_pylist()]), strict=True):
                 raw += end
