@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dagstore.llm import decontaminate, html_extract, langid, media, packing, quality, secrets, toxicity
+from dagstore.llm import decontaminate, dedup, html_extract, langid, media, packing, quality, secrets, toxicity
 from dagstore.llm.runtime import crc_mod
 
 
@@ -21,6 +21,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", items, "contaminated")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_secret_scans": op5_secret_scans,
     "op6_media_columns": op6_media_columns,
