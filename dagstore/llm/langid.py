@@ -99,7 +99,7 @@ class Classifier:
 
 
 def sample(df: DataFrame, by: str, bound: int, id_col: str = "doc_id") -> DataFrame:
-    """At most bound rows of each value of by: those with the least hash of their id.
+    """At most bound rows of each value of by: those with the least hash of their id.  Give it ids alone, no texts.
 
     A threshold on the hash, set from the counts, comes first, so that only about twice the bound is ever sorted.
     """
@@ -139,7 +139,8 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size:
 def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, bound: int = SAMPLE) -> DataFrame:
     """id, lang_pred, score and distance (0 to 1), one row per row of docs; profiles learned from training's rows."""
     labelled = rt.only(training, id_col, text_col, lang_col).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    profiles = learn(sample(labelled, lang_col, bound, id_col), lang_col, text_col, size)
+    chosen = sample(labelled.select(id_col, lang_col), lang_col, bound, id_col)  # bound ids of each language
+    profiles = learn(labelled.join(F.broadcast(chosen.select(id_col)), id_col, "left_semi"), lang_col, text_col, size)
     return score(docs, profiles, id_col, text_col, size)
 
 
