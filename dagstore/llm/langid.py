@@ -138,10 +138,26 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size:
 
 def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, bound: int = SAMPLE) -> DataFrame:
     """id, lang_pred, score and distance (0 to 1), one row per row of docs; profiles learned from training's rows."""
+    return score(docs, train(training, id_col, text_col, lang_col, size, bound), id_col, text_col, size)
+
+
+def train(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, bound: int = SAMPLE) -> dict[str, list[int]]:
+    """Profiles learned from a bounded sample of the labelled rows of training."""
     labelled = rt.only(training, id_col, text_col, lang_col).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     chosen = sample(labelled.select(id_col, lang_col), lang_col, bound, id_col)  # bound ids of each language
-    profiles = learn(labelled.join(F.broadcast(chosen.select(id_col)), id_col, "left_semi"), lang_col, text_col, size)
-    return score(docs, profiles, id_col, text_col, size)
+    return learn(labelled.join(F.broadcast(chosen.select(id_col)), id_col, "left_semi"), lang_col, text_col, size)
+
+
+def keep_known(docs: DataFrame, training: DataFrame, max_distance: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, all columns, that have letters and are nearer than max_distance (0 to 1) to a learned language."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(training, id_col, text_col, lang_col))
+
+    def keep():
+        model = Classifier(shared.value)
+        known = lambda p: p[0] != UNKNOWN and p[2] < max_distance
+        return lambda texts: [known(model.predict(t)) for t in texts]
+
+    return rt.filter_rows(docs, text_col, keep)
 
 
 def score(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text", size: int = PROFILE) -> DataFrame:

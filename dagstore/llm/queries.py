@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dagstore.llm import decontaminate, dedup, html_extract, langid, media, packing, quality, secrets, toxicity
+from dagstore.llm import decontaminate, dedup, html_extract, langid, media, packing, quality, secrets, toolcalls, toxicity
 from dagstore.llm.runtime import crc_mod
 
 
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toolcalls.records(table(spark, sf_dir, "conversations"))
+    return toolcalls.link(found, {"reply": toolcalls.REPLY_SCHEMA})
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256")
@@ -61,6 +66,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tool_call_linking": op1_tool_call_linking,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
@@ -72,4 +78,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_tool_call_linking": toolcalls.DIALOGUE_SQL,
+}

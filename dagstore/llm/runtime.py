@@ -87,7 +87,35 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def semi_keep(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of df whose key is among ids (null matches null), every column kept."""
-    b = ids.select(F.col(key).alias("__keep_id")).distinct()
-    return df.join(b, df[key].eqNullSafe(b["__keep_id"]), "left_semi")
+def drop_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of df whose key is not among ids (null matches null), every column kept.
+
+    The ids are written first: their size is then known, so that Spark broadcasts them only below its threshold.
+    """
+    b = materialize(ids.select(F.col(key).alias("__drop_id")).distinct(), "ids")
+    return df.join(b, df[key].eqNullSafe(b["__drop_id"]), "left_anti")
+
+
+def keep_first(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row of each key that repeats, the least in all columns; rows with a null key stay."""
+    many = materialize(df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col(key).isNotNull() & (F.col("__n") > 1)).select(F.col(key).alias("__many")), "repeated")
+    if many.isEmpty():
+        return df
+    again = df.join(many, df[key] == many["__many"], "left_semi")
+    first = again.groupBy(key).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("__row"))
+    return drop_ids(df, many.withColumnRenamed("__many", key), key).unionByName(first.select("__row.*"))
+
+
+def filter_rows(df: DataFrame, column: str, keep: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """Rows for which keep()(values of column) is true, all columns passed through unshuffled."""
+    ddl = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    schema, at = arrow_schema(ddl), df.columns.index(column)
+
+    def run(batches):
+        test = keep()
+        for b in slices(batches):
+            mask = pa.array(test(b.column(at).to_pylist()), pa.bool_())
+            kept = b.filter(mask)
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(kept.columns, schema, strict=True)], schema=schema)
+
+    return map_arrow(df, run, ddl)
