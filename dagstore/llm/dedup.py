@@ -10,9 +10,8 @@ No bucket is ever expanded into all its pairs:
 2. In each bucket, HUBS texts with the most bucket-mates overall are its hubs; every member is paired with them.  The
    base of a group of near copies has the most, so one round links nearly all of the group.
 3. Pairs are verified on full sets (100 * intersection >= 75 * union), and linked texts joined into components.
-4. What could still be missed are pairs of non-hubs of one bucket in different components.  For those buckets the
-   shingles that no other of their texts has are counted; a text with u of them out of n can share at most n - u with
-   any other, which rules out nearly every pair by 7 * min(n - u, n' - u') >= 3 * (n + n'); the rest is verified too.
+4. What could still be missed are pairs of non-hubs of one bucket in different components.  The texts of such buckets
+   go through an exact positional prefix filter (``residual_pairs``); the few pairs that pass it are verified too.
 
 So every pair that shares a band is either verified, within one component already, or proven not to link.  Pairs of
 similarity 0.75 share no band with a chance under 1e-5 (32 bands of 4), nearer ones with a far smaller one.
@@ -144,16 +143,20 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)), type=schema.field(1).type)
             yield pa.RecordBatch.from_arrays([b.column(0), lists], schema=schema)
 
-    wanted = docs.join(ids.distinct(), "doc_id", "left_semi").dropDuplicates()
+    wanted = docs.join(ids.distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates()
     return rt.map_arrow(wanted, run, ddl)
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (hub, id) whose sets are linked, as (a, b).  Pairs of one hub are dealt out in blocks of BLOCK."""
+    """The pairs (hub, id) whose sets are linked, as (a, b).  Pairs of one hub are dealt out in blocks of BLOCK.
+
+    No side is broadcast, whatever its size: none has a bound, and the plan is the same at every size.
+    """
     per = pairs.groupBy("hub").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("salts"))
     salted = pairs.join(per, "hub").select("hub", "id", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
+    sets = sets.hint("merge")
     hubs = per.join(sets, per.hub == sets.doc_id).select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("set").alias("hub_set"))
-    both = salted.join(sets, salted.id == sets.doc_id).select("hub", "salt", "id", "set").join(hubs, ["hub", "salt"])
+    both = salted.join(sets, salted.id == sets.doc_id).select("hub", "salt", "id", "set").join(hubs.hint("merge"), ["hub", "salt"])
     shared = F.size(F.array_intersect("set", "hub_set")).cast("long")
     linked = both.filter(100 * shared >= 75 * (F.size("set") + F.size("hub_set") - shared))
     return linked.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
@@ -209,20 +212,10 @@ def link(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     # pairs of non-hubs of one bucket in different components
     labelled = members.filter(F.col("m") > HUBS + 1).select("key", "id").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    open_ = rt.materialize(labelled.join(mixed, "key").select("key", "id", "component"), "open")
+    open_ = rt.materialize(labelled.join(mixed, "key", "left_semi").select("id", "component").distinct(), "open")
     if open_.isEmpty():
         return links, groups
-    own = own_shingles(sets, open_.select(F.col("id").alias("doc_id")))
-    rest = open_.join(hubs.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti").join(own, "id")
-    able = rest.filter("7 * (n - u) >= 3 * (n + ceil(0.75 * n))")
-    still = able.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    left = rt.materialize(able.join(still, "key"), "left")
-    if left.isEmpty():
-        return links, groups
-    x, y = left.alias("x"), left.alias("y")
-    may = F.expr("x.id < y.id and x.component <> y.component and 7 * least(x.n - x.u, y.n - y.u) >= 3 * (x.n + y.n)")
-    second = x.join(y, (F.col("x.key") == F.col("y.key")) & may).select(F.col("x.id").alias("hub"), F.col("y.id").alias("id")).distinct()
-    second = rt.materialize(second, "pairs")
+    second = rt.materialize(residual_pairs(open_, sets), "pairs")
     more = rt.materialize(verify(second, sets), "links")
     if more.isEmpty():
         return links, groups
@@ -230,31 +223,25 @@ def link(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return every, rt.materialize(components(every), "components")
 
 
-def own_shingles(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, n (size of its set) and u (shingles that no other document of ids has)."""
-    few = sets.join(ids.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def residual_pairs(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (hub, id) of open_ (id, component) in different components that could be linked, by a positional prefix filter.
 
-    def run(batches):
-        seen: dict[int, int | None] = {}  # a shingle met once has its document, one met again None
-        for b in batches:
-            for i, values in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for h in values.as_py():
-                    seen[h] = None if h in seen else i
-            if len(seen) > 500_000:
-                yield _counted(seen)
-                seen = {}
-        if seen:
-            yield _counted(seen)
-
-    once = rt.map_arrow(few.select("doc_id", "set"), run, "h bigint, one bigint, many boolean")
-    alone = once.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.max("many").alias("many"), F.max("one").alias("one")).filter("c = 1 and not many")
-    u = alone.groupBy(F.col("one").alias("doc_id")).agg(F.count(F.lit(1)).alias("u"))
-    return few.select("doc_id", F.size("set").cast("long").alias("n")).join(u, "doc_id", "left").select(F.col("doc_id").alias("id"), "n", F.coalesce("u", F.lit(0)).alias("u"))
-
-
-def _counted(seen: dict[int, int | None]) -> pa.RecordBatch:
-    one = list(seen.values())
-    return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(one, pa.int64()), pa.array([x is None for x in one])], names=["h", "one", "many"])
+    Shingles are put in one order, from the rarest among these documents on.  Linked sets share a shingle within the
+    first n - ceil(0.75 * n) + 1 of each; if their first common one stands at places i and j, they share at most
+    min(n - i, n' - j) in all, which must reach 3 / 7 of n + n'.
+    """
+    own = sets.join(open_.select(F.col("id").alias("doc_id"), "component"), "doc_id").dropDuplicates(["doc_id"])
+    every = own.select(F.col("doc_id").alias("id"), "component", F.size("set").alias("n"), F.explode("set").alias("h"))
+    frequency = every.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    w = Window.partitionBy("id").orderBy("df", "h")
+    placed = every.join(frequency, "h").withColumn("at", F.row_number().over(w) - 1)
+    head = placed.filter("df > 1 and at <= n - ceil(0.75 * n)").select("h", "id", "component", "n", "at")
+    per = head.groupBy("h", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("k"))
+    head = rt.materialize(head.join(per.filter("k > 1").select("h", "main"), "h"), "prefixes")
+    # a shingle's largest component is never paired with itself: the others are paired with all
+    x, y = head.filter("component <> main").alias("x"), head.alias("y")
+    linkable = F.expr("x.component <> y.component and (y.component = y.main or x.id < y.id) and 7 * least(x.n - x.at, y.n - y.at) >= 3 * (x.n + y.n)")
+    return x.join(y, (F.col("x.h") == F.col("y.h")) & linkable).select(F.least("x.id", "y.id").alias("hub"), F.greatest("x.id", "y.id").alias("id")).distinct()
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from dagstore.plans import objects  # noqa: F401
+from dagstore.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

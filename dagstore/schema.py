@@ -1,0 +1,26 @@
+"""Schemas of the data model: objects, edges, refs, logs, leases, metrics and the tables beside them."""
+
+from pyspark.sql.types import _parse_datatype_string
+
+
+def _s(ddl: str):
+    return lambda: _parse_datatype_string(ddl)
+
+
+OBJECTS = "oid string, sha1 string, git_type tinyint, content binary, size bigint, encoding tinyint, delta_base string, mtime_s bigint, loose boolean, tier string"
+EDGES = "src string, dst string, kind string, name binary, mode string"
+REFS = "name string, target string, hlc bigint, version bigint"
+REF_SLOTS = "name string, target string, hlc bigint, version bigint, prepared struct<txn_id:string,coord_shard:int,staged_target:string,staged_hlc:bigint>"
+REF_LOG = "offset bigint, kind string, name string, target string, expected string, hlc bigint"
+LEASES = "id string, source_refs array<string>, created_at_ms bigint, expires_at_ms bigint, hlc bigint, generation bigint, tenant_id string"
+LEASE_LOG = "offset bigint, kind string, id string, tenant_id string, created_at_ms bigint, expires_at_ms bigint, generation bigint"
+TENANT_USAGE = "tenant string, bytes bigint, objects bigint"
+METRICS = "name string, labels map<string,string>, instance string, ts timestamp, value double"
+SHARD_MAP = "shard int, node_id bigint, addr string"
+TXNS = "txn_id string, decision string, participants array<int>"
+API_KEYS = "key_id string, tenant_id string, scopes array<string>, revoked boolean, expires_at_ms bigint"
+WEBHOOKS = "id string, tenant_id string, url string, events array<string>, active boolean"
+SIDECAR = "oid string, sha1 string, git_type tinyint, offset bigint"
+GC_STATS = "scanned bigint, reachable bigint, reclaimed bigint, bytes_freed bigint, skipped_grace bigint"
+
+schema = {k.lower(): _s(v) for k, v in globals().items() if k.isupper()}
