@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dagstore.functions import hashing, names
+from dagstore.functions import content, delta, hashing, names
 from dagstore.operators import fetch, gc, graph, pack, storage
 from dagstore.plans import fixtures as fx
 from dagstore.plans.fixtures import sql
@@ -462,3 +462,31 @@ def delta_selection(spark, d):
 def lru_residency(spark, d):
     e = table(spark, d, "events").groupBy(F.col("user_id").alias("key")).agg(F.max("event_id").alias("last_used"), F.floor(F.sum("value") * 10).cast("long").alias("bytes"))
     return pack.resident(e, 60, 200000).select("key", "kept")
+
+
+@query("tree_entries", "SELECT r_regionkey AS id, CAST(row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS ord, CASE WHEN n_nationkey % 5 = 0 THEN '160000' ELSE '100644' END AS mode, n_name AS name, sha1(n_name) AS sha1 FROM region JOIN nation ON n_regionkey = r_regionkey")
+def tree_entries(spark, d):
+    n = table(spark, d, "nation")
+    mode = F.when(F.col("n_nationkey") % 5 == 0, "160000").otherwise("100644")
+    entry = F.concat(mode.cast("binary"), F.lit(" ").cast("binary"), F.col("n_name").cast("binary"), F.lit(b"\0"), F.unhex(F.sha1(F.col("n_name").cast("binary"))))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", F.hex(entry).alias("e")))), lambda x: x["e"])
+    trees = n.groupBy(F.col("n_regionkey").alias("id")).agg(F.unhex(F.concat_ws("", rows)).alias("content"))
+    return content.tree_entries(trees).withColumn("name", F.decode("name", "UTF-8"))
+
+
+@query("commit_headers", "SELECT conv_id, turn, sha1(text) AS tree, CASE WHEN turn > 0 THEN sha1('p' || (turn - 1)) ELSE '' END AS parents FROM conversations WHERE text IS NOT NULL")
+def commit_headers(spark, d):
+    c = table(spark, d, "conversations").filter("text is not null")
+    sha = lambda x: F.sha1(x.cast("binary"))
+    parent = F.when(F.col("turn") > 0, F.concat(F.lit("parent "), sha(F.concat(F.lit("p"), F.col("turn") - 1)), F.lit("\n"))).otherwise("")
+    raw = F.concat(F.lit("tree "), sha(F.col("text")), F.lit("\n"), parent, F.lit("author a <a@b> 0 +0000\n\nparent 00\n")).cast("binary")
+    return c.select("conv_id", "turn", content.commit_tree(raw).alias("tree"), F.concat_ws(",", content.commit_parents(raw)).alias("parents"))
+
+
+@query("delta_round_trip", "SELECT doc_id, sha256(text) AS oid, octet_length(encode(text)) AS size FROM documents WHERE text IS NOT NULL")
+def delta_round_trip(spark, d):
+    t = F.col("text").cast("binary")
+    base = F.encode(F.concat(F.substring("text", 20, 400), F.lit("base")), "UTF-8")
+    packed = table(spark, d, "documents").filter("text is not null").select("doc_id", base.alias("base"), delta.encode_udf()(base, t).alias("delta"))
+    back = packed.select("doc_id", delta.apply_udf()(F.col("base"), F.col("delta")).alias("raw"))
+    return back.select("doc_id", F.sha2("raw", 256).alias("oid"), F.octet_length("raw").cast("long").alias("size"))
