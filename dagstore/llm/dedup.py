@@ -53,6 +53,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+rt.keeps(__name__, _hashes.clear)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:

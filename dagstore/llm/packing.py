@@ -35,7 +35,7 @@ from dagstore.llm import runtime as rt
 
 CAPACITY = 4096
 SEPARATOR = 1
-CACHE_WORDS, CACHE_RUNS = 800_000, 500_000  # ids kept in a worker; then it starts anew
+CACHE_WORDS, CACHE_RUNS = 250_000, 150_000  # ids kept in a worker; then it starts anew
 LONG_WORD = 64
 
 #: Runs that the vocabulary's own pattern makes of plain Latin words without apostrophes.
@@ -178,6 +178,7 @@ class WordTokenizer:
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
+rt.keeps(__name__, _tokenizers.clear)
 
 
 def tokenizer(path: str) -> WordTokenizer:

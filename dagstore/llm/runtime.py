@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -57,10 +59,42 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_forget: dict[str, Callable[[], None]] = {}
+
+
+def keeps(module: str, forget: Callable[[], None]) -> None:
+    """Names how to drop what a module keeps in a Python worker from task to task."""
+    _forget[module] = forget
+
+
+def _return_memory() -> None:
+    """Hands freed memory back to the system: idle workers stay alive beside those of the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, rows: int = ARROW_ROWS) -> DataFrame:
-    """mapInArrow with small batches, so that a batch of very long texts stays bounded."""
+    """mapInArrow with small batches, so that a batch of very long texts stays bounded.
+
+    A worker serves every operator in turn: what other operators keep in it goes before a task, freed memory after.
+    """
+    owner = fn.__module__
+
+    def run(batches):
+        for module, forget in _forget.items():
+            if module != owner:
+                forget()
+        try:
+            yield from fn(batches)
+        finally:
+            _return_memory()
+
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
