@@ -24,6 +24,7 @@ gives an empty table.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,10 @@ from dagstore.llm.langid import sample
 
 SAMPLE = 12000
 LEXICON = 2000
-STEM = (4, 5, 6, 7, 8)  # lengths of stems that are weighed beside whole words
+STEM = (3, 4, 5, 6, 7, 8)  # lengths of stems that are weighed beside whole words
 MIN_RATIO = 6.0  # times likelier in toxic documents than in others
+MIN_SIGMA = 3.0  # standard errors of the log of that ratio by which it must differ from 0
+DENSITY = 200  # an entry marks a training document that holds it at least once in so many words
 REACH = 3  # words that a negation, a target or a verb of speech reaches over
 
 # fixed values: closed classes of the four languages
@@ -48,7 +51,7 @@ REPORTS = set("said says say saying wrote writes told tells claimed claims calle
 
 WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|[.!?;\n]+")
 INSULT, THREAT, TARGET, NOT, SAID, OTHER = range(6)
-FEATURES = 8  # weight of clauses, matched clauses, insults in full, with a target, negated or reported, threats; distinct lexicon words, all words
+FEATURES = 9  # weight of clauses, matched clauses, insults in full, with a target, negated or reported, threats; distinct lexicon words, all words, weight of clauses by words
 
 
 class Trie:
@@ -134,18 +137,20 @@ class Grammar:
         found = self.clauses(words)
         insults = {w for w in set(words) if self.classify(w)[0] == INSULT} if found else ()
         kinds = [m for _, ms in found for m in ms]
-        return [math.log1p(sum(w for w, _ in found)), math.log1p(len(found)), *(math.log1p(kinds.count(k)) for k in range(4)), math.log1p(len(insults)), math.log1p(len(words)) / 4]
+        weight = sum(w for w, _ in found)
+        return [math.log1p(weight), math.log1p(len(found)), *(math.log1p(kinds.count(k)) for k in range(4)), math.log1p(len(insults)), math.log1p(len(words)) / 4, math.log1p(DENSITY * weight / (len(words) + 20))]
 
 
-def _entries(text: str) -> set[str]:
-    """The words of a text, lower-cased, and their stems (a trailing * marks one)."""
-    out: set[str] = set()
-    for w in set(WORD.findall(text)):
-        if w[0].isalpha():
-            w = w.lower()
-            out.add(w)
-            out.update(w[:n] + "*" for n in STEM if len(w) > n)
-    return out
+def _entries(text: str) -> list[str]:
+    """The words of a text, lower-cased, and their stems (a trailing * marks one), that make up 1 / DENSITY of its words."""
+    words = Counter(w.lower() for w in WORD.findall(text) if w[0].isalpha())
+    found = words.copy()
+    for w, n in words.items():
+        for k in STEM:
+            if len(w) > k:
+                found[w[:k] + "*"] += n
+    least = words.total() / DENSITY
+    return [e for e, n in found.items() if n >= least]
 
 
 def learn_lexicon(labelled: DataFrame, n_toxic: int, n_other: int, text_col: str = "text") -> tuple[dict[str, float], dict[str, float]]:
@@ -165,13 +170,15 @@ def learn_lexicon(labelled: DataFrame, n_toxic: int, n_other: int, text_col: str
             part = list(zip(*keep[k : k + 10_000], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int64())], names=["entry", "toxic", "other"])
 
-    least = max(4, round(0.005 * n_toxic))
-    odds = (F.col("toxic") + 0.1) / n_toxic / ((F.col("other") + 0.1) / n_other)
+    least = max(3, round(0.005 * n_toxic))
+    toxic, other = F.col("toxic") + 0.5, F.col("other") + 0.5
+    odds = toxic / n_toxic / (other / n_other)
+    sigma = F.log(odds) / F.sqrt(1 / toxic + 1 / other)
     rows = (
         rt.map_arrow(labelled.select("label", text_col), run, "entry string, toxic bigint, other bigint")
         .groupBy("entry")
         .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-        .filter(F.col("toxic") >= least)
+        .filter((F.col("toxic") >= least) & (sigma >= MIN_SIGMA))
         .select("entry", "toxic", odds.alias("odds"))
         .filter(F.col("odds") >= MIN_RATIO)
         .orderBy(F.col("toxic").desc(), "entry")
