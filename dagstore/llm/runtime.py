@@ -18,6 +18,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 ARROW_ROWS = 512
 #: Rows decoded to Python objects at once.
 SLICE_ROWS = 128
+#: Bytes decoded at once, unless one row has more: words and ids of a slice take many times its bytes.
+SLICE_BYTES = 1 << 20
 
 _fallback: dict[str, str] = {}
 
@@ -101,10 +103,17 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(ddl))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Every row of the batches in order, in slices of at most rows rows and size bytes, or of one longer row."""
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        waiting = [b.slice(i, rows) for i in range(0, b.num_rows, rows)][::-1]
+        while waiting:
+            part = waiting.pop()
+            if part.num_rows > 1 and part.nbytes > size:
+                half = part.num_rows // 2
+                waiting += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
 
 
 def to_batch(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:

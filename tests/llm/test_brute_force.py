@@ -6,10 +6,12 @@ import re
 import zlib
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from dagstore.llm import queries as llm
+from dagstore.llm.runtime import slices
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
@@ -48,6 +50,14 @@ def documents(spark, d):
     return [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
 
 
+def test_slices_bound_rows_and_bytes():
+    texts = ["a" * n for n in (10, 50, 3000, 0, 1, 900, 900, 900)] + ["b"] * 300
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([*texts[:-1], None])], names=["id", "text"])
+    parts = list(slices([batch, batch.slice(0, 0)], 128, 2000))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert all(p.num_rows == 1 or (p.num_rows <= 128 and p.nbytes <= 2000) for p in parts)
+
+
 def words(text):
     return WORD.findall((text or "").translate(LOWER))
 
