@@ -112,30 +112,42 @@ class DeltaIndex:
             if len(where) < TRIES:
                 where.append(at)
 
-    def encode(self, target: bytes) -> bytes:
-        """A delta that makes target; at every place the longest match of its block's places is copied."""
-        base, out, literal, at = self.base, bytearray(write_size(len(self.base)) + write_size(len(target))), bytearray(), 0
-        while at < len(target):
+    def encode(self, target: bytes, grams: dict[bytes, list[int]] | None = None) -> bytes:
+        """A delta that makes target; at every place the longest match of its block's places is copied.
+
+        With the target's grams() only the places that hold a block of the base are visited.
+        """
+        base, places, out, at = self.base, self.places, bytearray(write_size(len(self.base)) + write_size(len(target))), 0
+        if grams is None:
+            hits = [k for k in range(len(target) - BLOCK + 1) if target[k : k + BLOCK] in places]
+        else:
+            hits = sorted(k for g in places.keys() & grams.keys() for k in grams[g])
+        for hit in hits:
+            if hit < at:
+                continue
             start, n = -1, 0
-            for where in self.places.get(target[at : at + BLOCK], ()):
-                k = _common(base, where, target, at)
+            for where in places[target[hit : hit + BLOCK]]:
+                k = _common(base, where, target, hit)
                 if k > n:
                     start, n = where, k
-            if n < BLOCK:
-                literal.append(target[at])
-                at += 1
-                continue
             back = 0  # the match may begin within what was to be inserted
-            while literal and start - back > 0 and base[start - back - 1] == literal[-1]:
-                literal.pop()
+            while hit - back > at and start - back > 0 and base[start - back - 1] == target[hit - back - 1]:
                 back += 1
-            _flush(out, literal)
+            _flush(out, bytearray(target[at : hit - back]))
             _copies(out, start - back, n + back)
-            at += n
-        _flush(out, literal)
+            at = hit + n
+        _flush(out, bytearray(target[at:]))
         return bytes(out)
 
 
+def grams(target: bytes) -> dict[bytes, list[int]]:
+    """The places of every string of a block's length, to write many deltas that make target."""
+    out: dict[bytes, list[int]] = {}
+    for at in range(len(target) - BLOCK + 1):
+        out.setdefault(target[at : at + BLOCK], []).append(at)
+    return out
+
+
 def _common(a: bytes, i: int, b: bytes, j: int) -> int:
     n, top = 0, min(len(a) - i, len(b) - j)
     step = 1024

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import zlib
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dagstore.functions import delta
+from dagstore.operators.reflog import ordered_fold
 from dagstore.session import materialize
 
 WINDOW, DEPTH = 250, 50
@@ -42,38 +44,51 @@ def candidates(ranked: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def select_deltas(ranked: DataFrame, window: int = WINDOW, depth: int = DEPTH, block: int = 2000) -> DataFrame:
-    """id, base and delta_size of the objects worth storing as deltas (ranked: git_type, rank, id, content).
+    """id, base, delta_size and depth of the objects worth storing as deltas (ranked: git_type, rank, id, content).
 
-    Down the order, each object takes the base among those before it that gives the smallest delta, smaller than itself
-    and smaller still when compressed, in a chain of at most depth.  The order is cut into runs of block objects, each
-    one task with its own window, so the work is spread and a run's memory is bounded.
+    Down the order, each object takes the base among the window before it that gives the smallest delta, smaller than
+    itself, in a chain of at most depth; it is stored if it is smaller still when compressed.  The order is cut into
+    runs of block objects, each one task that also reads the window before its run, so no boundary loses a base.  A run
+    can't know how long the chains before it are, so it tells every base that would serve, smallest delta first; an
+    ordered fold over these numbers, one task a type without contents, then takes the first whose chain has room.
     """
-    schema = "id string, base string, delta_size bigint, depth int"
-    runs = ranked.withColumn("run", F.floor((F.col("rank") - 1) / block))
+    last = F.floor((F.col("rank") - 1 + window) / block)
+    read = ranked.select("git_type", "rank", "id", "content", F.explode(F.sequence(F.floor((F.col("rank") - 1) / block), last)).alias("run"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, recent = [], []
+        out: list[tuple] = []
+        recent: deque[delta.DeltaIndex] = deque(maxlen=window)  # nearest first
         for row in pdf.sort_values("rank").itertuples():
             content = bytes(row.content or b"")
-            best = None
-            for other, index, below in reversed(recent):
-                if below + 1 <= depth:
-                    d = index.encode(content)
-                    if len(d) < len(content) and (best is None or len(d) < len(best[1])):
-                        best = (other, d, below + 1)
-            chain = 0
-            if best and len(zlib.compress(best[1])) < len(zlib.compress(content)) and delta.apply_delta(index_content(recent, best[0]), best[1]) == content:
-                out.append((row.id, best[0], len(best[1]), best[2]))
-                chain = best[2]
-            recent.append((row.id, delta.DeltaIndex(content), chain))
-            if len(recent) > window:
-                recent.pop(0)
-        return pd.DataFrame(out, columns=["id", "base", "delta_size", "depth"])
-
-    def index_content(recent: list, base: str) -> bytes:
-        return next(i.base for o, i, _ in recent if o == base)
-
-    return runs.groupBy("git_type", "run").applyInPandas(run, schema)
+            if (row.rank - 1) // block == row.run:
+                grams, whole, found = delta.grams(content), len(zlib.compress(content)), []
+                for distance, index in enumerate(recent, 1):
+                    d = index.encode(content, grams)
+                    if len(d) < len(content):
+                        found.append((len(d), distance, len(zlib.compress(d)) < whole and delta.apply_delta(index.base, d) == content))
+                sizes, distances, serves = zip(*sorted(found), strict=True) if found else ((), (), ())
+                out.append((row.git_type, row.rank, row.id, list(distances), list(sizes), list(serves)))
+            recent.appendleft(delta.DeltaIndex(content))
+        return pd.DataFrame(out, columns=["git_type", "rank", "id", "distances", "sizes", "serves"])
+
+    kind = dict(ranked.dtypes)
+    found = read.groupBy("git_type", "run").applyInPandas(run, f"git_type {kind['git_type']}, rank bigint, id {kind['id']}, distances array<int>, sizes array<int>, serves array<boolean>")
+
+    def step(recent: deque, row: tuple) -> tuple[deque, tuple]:
+        name, distances, sizes, serves = row[-4:]
+        base, size, chain = None, None, 0
+        for distance, n, good in zip(distances, sizes, serves, strict=True):
+            other, below = recent[distance - 1]
+            if below < depth:  # the smallest with room decides, stored or not
+                if good:
+                    base, size, chain = other, n, below + 1
+                break
+        recent.appendleft((name, chain))
+        return recent, (name, base, size, chain)
+
+    ddl = f"git_type {kind['git_type']}, rank bigint, id {kind['id']}, base {kind['id']}, delta_size bigint, depth int"
+    folded = ordered_fold(found, "git_type", "rank", lambda: deque(maxlen=window), step, ddl)
+    return folded.filter("base is not null").select("id", "base", "delta_size", "depth")
 
 
 def fanout(objects: DataFrame) -> DataFrame:

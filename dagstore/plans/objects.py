@@ -455,7 +455,7 @@ def repack_check(spark, d):
 def delta_selection(spark, d):
     docs = table(spark, d, "documents").filter("text is not null and lang is not null and source is not null")
     o = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("git_type"), hashing.name_hash(F.col("source")).alias("name_hash"), F.col("n_chars").alias("size"), F.col("text").cast("binary").alias("content"))
-    return pack.select_deltas(pack.numbered(o), window=10)
+    return pack.select_deltas(pack.numbered(o))
 
 
 @query("lru_residency", "SELECT key, row_number() OVER w <= 60 AND sum(bytes) OVER w <= 200000 AS kept FROM (SELECT user_id AS key, max(event_id) AS last_used, CAST(floor(sum(value) * 10) AS BIGINT) AS bytes FROM events GROUP BY user_id) WINDOW w AS (ORDER BY last_used DESC, key)")
