@@ -1,10 +1,10 @@
 """Secret scans: base patterns, and a token-efficiency test for random strings.
 
 Random strings compress badly: a byte-level BPE vocabulary needs a token for every one or two of their
-characters.  A candidate is a run of URL-safe or base64 characters of at least MIN_CHARS that mixes digits with
-letters; it is excluded when it is a known digest (hex of a digest's length), a UUID, or an identifier (words
-joined by - _ . / or camel case that the vocabulary spells in few tokens); what remains and has fewer than
-MAX_RATIO characters per token is reported as kind ``random``.
+characters.  A candidate is a run of URL-safe or base64 characters of at least MIN_CHARS with a letter; it is excluded
+when it is a known digest (hex of a digest's length), a UUID, or an identifier (words joined by - _ / or camel case,
+each of which the vocabulary spells in few tokens, be it in lower case; numbers between them don't count); what
+remains and has fewer than MAX_RATIO characters per token is reported as kind ``random``.
 
 Spans are whole matches in code points, end exclusive.  Defined results: null is the empty text, with no spans;
 repeated rows repeat; an empty table gives an empty table; whole texts are scanned however long.
@@ -22,6 +22,7 @@ from dagstore.llm import runtime as rt
 
 KINDS = ("assign", "access", "hex", "random")
 MIN_CHARS, MAX_RATIO = 20, 2.2
+MIN_RUN = 4  # characters of an identifier's words and numbers, on average
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -44,11 +45,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def known(s: str) -> bool:
-    """A digest, a UUID or an identifier made of words."""
-    if UUID.fullmatch(s) or (len(s) in DIGEST_CHARS and DIGEST.fullmatch(s)):
-        return True
-    parts = WORDS.findall(s)
-    return bool(parts) and sum(map(len, parts)) / len(parts) >= 4
+    """A digest or a UUID."""
+    return bool(UUID.fullmatch(s) or (len(s) in DIGEST_CHARS and DIGEST.fullmatch(s)))
 
 
 class TokenEfficiency:
@@ -64,12 +62,23 @@ class TokenEfficiency:
     def ratio(self, s: str) -> float:
         return len(s) / max(1, len(self.encoding.encode_ordinary(s)))
 
+    def identifier(self, s: str, max_ratio: float) -> bool:
+        """Runs of MIN_RUN characters on average whose words are each one token or of max_ratio characters a token."""
+        parts = WORDS.findall(s)
+        if not parts or sum(map(len, parts)) < MIN_RUN * len(parts):
+            return False
+        return all(p.isdigit() or self._word(p, max_ratio) or self._word(p.lower(), max_ratio) for p in parts)
+
+    def _word(self, part: str, max_ratio: float) -> bool:
+        n = len(self.encoding.encode_ordinary(part))
+        return n == 1 or len(part) >= max_ratio * n
+
 
 def random_spans(text: str, test: TokenEfficiency, max_ratio: float = MAX_RATIO) -> list[tuple[str, int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and not known(s) and test.ratio(s) < max_ratio:
+        if any(c.isalpha() for c in s) and not known(s) and test.ratio(s) < max_ratio and not test.identifier(s, max_ratio):
             out.append(("random", m.start(), m.end()))
     return out
 
