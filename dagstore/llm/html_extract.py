@@ -3,10 +3,13 @@
 A page's text nodes are labelled with their root-to-leaf tag path (inline formatting left out).  For every path, text
 length and punctuation are added up over its nodes; the text path ratio is text length per node, the punctuation path
 ratio punctuation per node.  The two are fused (geometric mean, links' text counting against a path), smoothed over
-the nodes in page order, and a path belongs to the content if its nodes' mean smoothed score reaches THRESHOLD times
-the best path's.  Structure narrows what is weighed: subtrees of menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments never count, and where a page has article or main elements, the container
-whose paths weigh most is the content with all its blocks, headings and short paragraphs included.
+the nodes in page order, and weighed by the root of the path's text length.  On every page a path belongs to the
+content if its weight reaches THRESHOLD times the heaviest path's; headings and paragraphs beside such a path do too.
+Structure narrows what is weighed, which departs from pure path ratios: subtrees of menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles and reader comments never count.  An article or main element is a prior, no
+rule: paths within weigh PRIOR times as much, and beside a path of the content in the same element THRESHOLD cubed of
+the best ratio is enough, however short the text (cells and list items, not lists of links).  Text outside such
+elements is weighed against them like any other.
 
 The page is read as a browser would: comments, raw-text elements, void elements, implied ends of p, li, dt, dd, tr,
 td, th and option, unclosed and stray tags, truncated tags.  Character references are decoded in text alone; white
@@ -28,9 +31,11 @@ from dagstore.llm import runtime as rt
 
 THRESHOLD = 0.25
 SIGMA = 1.0
+PRIOR = 2.0
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<[!?][^>]*(?:>|$)|</[^a-zA-Z>][^>]*(?:>|$)", re.S)
 ATTR = re.compile(r"""(?:^|\s)(id|class|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+CONTAINER = re.compile(r".*?/(?:article|main)(?=/|$)")
 PUNCTUATION = re.compile(r"[.,;:!?。，；：！？]")
 
 # fixed values: element kinds of HTML
@@ -54,7 +59,7 @@ KEEP_IN_ARTICLE = {"header"}
 class Node:
     __slots__ = ("name", "outside", "article", "path")
 
-    def __init__(self, name: str, outside: bool, article: int, path: str):
+    def __init__(self, name: str, outside: bool, article: bool, path: str):
         self.name, self.outside, self.article, self.path = name, outside, article, path
 
 
@@ -75,15 +80,15 @@ def _outside(name: str, attrs: str, in_article: bool) -> bool:
 
 
 class Blocks:
-    """Text nodes in page order: path, article number (0: none), text, link characters; and the blocks they are in."""
+    """Text nodes in page order: path, whether in an article or main element, text, link characters; and the blocks they are in."""
 
     def __init__(self) -> None:
-        self.nodes: list[tuple[str, int, int, str, bool]] = []  # path, article, block, text, in a link
+        self.nodes: list[tuple[str, bool, int, str, bool]] = []  # path, in an article, block, text, in a link
         self.block = 0
 
 
 def parse(page: str) -> Blocks:
-    out, stack, articles = Blocks(), [Node("#root", False, 0, "")], 0
+    out, stack = Blocks(), [Node("#root", False, False, "")]
     at, end = 0, len(page)
     links = 0
 
@@ -161,12 +166,9 @@ def parse(page: str) -> Blocks:
                         pop(k)
                         top = stack[-1]
                         break
-        article = top.article
-        if name in ("article", "main") and not article and not top.outside:
-            articles += 1
-            article = articles
+        article = top.article or (name in ("article", "main") and not top.outside)
         inline = name in INLINE
-        node = Node(name, top.outside or _outside(name, attrs, article > 0), article, top.path if inline else f"{top.path}/{name}")
+        node = Node(name, top.outside or _outside(name, attrs, article), article, top.path if inline else f"{top.path}/{name}")
         if name in RAW:
             stop = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
             if not node.outside:
@@ -187,10 +189,10 @@ def parse(page: str) -> Blocks:
     return out
 
 
-def path_scores(nodes: list[tuple[str, int, int, str, bool]]) -> dict[tuple[str, int], float]:
-    """The fused, smoothed ratio of each (path, article)."""
-    keys: dict[tuple[str, int], int] = {}
-    of = np.array([keys.setdefault((n[0], n[1]), len(keys)) for n in nodes])
+def path_scores(nodes: list[tuple[str, bool, int, str, bool]]) -> dict[str, float]:
+    """The fused, smoothed ratio of each path."""
+    keys: dict[str, int] = {}
+    of = np.array([keys.setdefault(n[0], len(keys)) for n in nodes])
     size = np.array([len(n[3].strip()) for n in nodes], float)
     link = np.array([len(n[3].strip()) if n[4] else 0 for n in nodes], float)
     marks = np.array([len(PUNCTUATION.findall(n[3])) for n in nodes], float)
@@ -209,30 +211,26 @@ def path_scores(nodes: list[tuple[str, int, int, str, bool]]) -> dict[tuple[str,
     return {k: float(mean[i]) for k, i in keys.items()}
 
 
-def content_nodes(nodes: list[tuple[str, int, int, str, bool]], threshold: float = THRESHOLD) -> list[tuple[str, int, int, str, bool]]:
+def content_nodes(nodes: list[tuple[str, bool, int, str, bool]], threshold: float = THRESHOLD) -> list[tuple[str, bool, int, str, bool]]:
     if not nodes:
         return []
-    scores = path_scores(nodes)
-    in_articles: dict[int, float] = {}
-    size: dict[tuple[str, int], int] = {}
+    size: dict[str, int] = {}
+    container: dict[str, str] = {}  # paths in an article or main element: the path of that element
     for path, article, _, text, _ in nodes:
-        size[path, article] = size.get((path, article), 0) + len(text.strip())
-    for (path, article), score in scores.items():
-        if article:
-            in_articles[article] = in_articles.get(article, 0) + score * size[path, article]
-    if any(in_articles.values()):
-        best = max(in_articles.values())
-        chosen = {a for a, s in in_articles.items() if s >= threshold * best}
-        return [n for n in nodes if n[1] in chosen]
-    weigh = {k: s * np.sqrt(size[k]) for k, s in scores.items()}
-    top = max(weigh.values())
-    kept = {k for k, s in weigh.items() if s > 0 and s >= threshold * top}
-    homes = {k[0].rsplit("/", 1)[0] for k in kept}  # headings beside the kept paragraphs
-    for path, article in scores:
+        size[path] = size.get(path, 0) + len(text.strip())
+        if article and path not in container:
+            container[path] = CONTAINER.match(path)[0]
+    scores = path_scores(nodes)
+    weigh = {p: s * np.sqrt(size[p]) * (PRIOR if p in container else 1) for p, s in scores.items()}
+    top, best = max(weigh.values()), max(scores.values())
+    kept = {p for p, w in weigh.items() if w > 0 and w >= threshold * top}
+    homes = {p.rsplit("/", 1)[0] for p in kept}  # headings beside the kept paragraphs
+    around = {container[p] for p in kept if p in container}
+    for path, score in scores.items():
         parent, _, leaf = path.rpartition("/")
-        if parent in homes and re.fullmatch(r"h[1-6]|p|pre|blockquote", leaf):
-            kept.add((path, article))
-    return [n for n in nodes if (n[0], n[1]) in kept]
+        if (parent in homes and re.fullmatch(r"h[1-6]|p|pre|blockquote", leaf)) or (container.get(path) in around and score >= threshold**3 * best):
+            kept.add(path)
+    return [n for n in nodes if n[0] in kept]
 
 
 def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
