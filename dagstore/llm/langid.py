@@ -25,6 +25,9 @@ from dagstore.llm import runtime as rt
 PROFILE = 300
 SAMPLE = 3000
 UNKNOWN = "und"
+SIGMAS = 4  # standard deviations above the mean distance of labelled texts from which a text is like no language
+LEAST = 30  # labelled texts and pieces of a length from which its distances are judged
+PIECES = (1, 2, 4, 8, 16, 32)  # words of the pieces of labelled texts that show how far short texts lie
 _BITS, _MASK = 20, (1 << 20) - 1
 
 _letters: np.ndarray | None = None
@@ -97,6 +100,29 @@ class Classifier:
         second = float(d[order[1]]) if len(d) > 1 else most
         return self.langs[order[0]], second / (near + second) if near + second else 1.0, near / most
 
+    def distance(self, text: str | None) -> tuple[int, float]:
+        """The size of a text's profile (0 without a letter) and the nearest language's distance as a share of the largest."""
+        p = profile(text, self.size)
+        if not len(p) or not self.langs:
+            return 0, 1.0
+        return len(p), float(self.distances(p).min()) / (self.size * len(p))
+
+
+class Limits:
+    """How far a text may lie from every language: SIGMAS above the mean of labelled texts, more where short texts lie farther.
+
+    sums: log2 size of a profile (0: whole labelled texts of any size) -> number, sum and sum of squares of distances.
+    With fewer than LEAST labelled texts max_distance alone holds; it bounds every limit.
+    """
+
+    def __init__(self, sums: dict[int, tuple[int, float, float]], max_distance: float):
+        found = {k: min(max_distance, x / n + SIGMAS * max(0.0, xx / n - (x / n) ** 2) ** 0.5) for k, (n, x, xx) in sums.items() if n >= LEAST}
+        self.least = found.pop(0, max_distance)
+        self.by_size = found
+
+    def __call__(self, size: int) -> float:
+        return max(self.least, self.by_size.get(int(size).bit_length(), 0.0))
+
 
 def sample(df: DataFrame, by: str, bound: int, id_col: str = "doc_id") -> DataFrame:
     """At most bound rows of each value of by: those with the least hash of their id.  Give it ids alone, no texts.
@@ -143,19 +169,56 @@ def identify(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_
 
 def train(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, bound: int = SAMPLE) -> dict[str, list[int]]:
     """Profiles learned from a bounded sample of the labelled rows of training."""
+    return learn(_labelled(training, id_col, text_col, lang_col, bound), lang_col, text_col, size)
+
+
+def _labelled(training: DataFrame, id_col: str, text_col: str, lang_col: str, bound: int) -> DataFrame:
     labelled = rt.only(training, id_col, text_col, lang_col).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     chosen = sample(labelled.select(id_col, lang_col), lang_col, bound, id_col)  # bound ids of each language
-    return learn(labelled.join(F.broadcast(chosen.select(id_col)), id_col, "left_semi"), lang_col, text_col, size)
+    return labelled.join(F.broadcast(chosen.select(id_col)), id_col, "left_semi")
+
+
+def limits(docs: DataFrame, profiles: dict[str, list[int]], max_distance: float, text_col: str = "text") -> Limits:
+    """From the distances of docs' texts and of pieces from their middle; a few sums a size come to the driver."""
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+
+    def run(batches):
+        model, sums = Classifier(shared.value), {}
+        for b in rt.slices(batches):
+            for text in b.column(0).to_pylist():
+                words = text.split()
+                half = len(words) // 2
+                for k, part in enumerate((text, *(" ".join(words[half : half + n]) for n in PIECES if half + n < len(words)))):
+                    size, x = model.distance(part)
+                    for key in (size.bit_length(), 0)[: 1 + (k == 0)] if size else ():
+                        own = sums.setdefault(key, [0, 0.0, 0.0])
+                        own[0], own[1], own[2] = own[0] + 1, own[1] + x, own[2] + x * x
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), *(pa.array([v[i] for v in sums.values()], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.float64())))], names=["size", "n", "x", "xx"])
+
+    found = rt.map_arrow(docs.select(text_col), run, "size int, n bigint, x double, xx double").groupBy("size").agg(F.sum("n"), F.sum("x"), F.sum("xx"))
+    return Limits({r[0]: (r[1], r[2], r[3]) for r in found.collect()}, max_distance)
 
 
 def keep_known(docs: DataFrame, training: DataFrame, max_distance: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs, all columns, that have letters and are nearer than max_distance (0 to 1) to a learned language."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(training, id_col, text_col, lang_col))
+    """The rows of docs, all columns, that have letters and are about as near to a learned language as the labelled rows.
+
+    What is too far is told by Limits; max_distance (0 to 1) is too far for any text.
+    """
+    labelled = _labelled(training, id_col, text_col, lang_col, SAMPLE)
+    profiles = learn(labelled, lang_col, text_col)
+    limit = limits(labelled, profiles, max_distance, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast((profiles, limit))
 
     def keep():
-        model = Classifier(shared.value)
-        known = lambda p: p[0] != UNKNOWN and p[2] < max_distance
-        return lambda texts: [known(model.predict(t)) for t in texts]
+        profiles, limit = shared.value
+        model = Classifier(profiles)
+
+        def known(text: str | None) -> bool:
+            size, distance = model.distance(text)
+            return size > 0 and (distance < limit(size) or distance == 0)
+
+        return lambda texts: [known(t) for t in texts]
 
     return rt.filter_rows(docs, text_col, keep)
 
