@@ -6,7 +6,8 @@ corpus holds; that histogram alone comes to the driver.  There
 
 * ``reduce_instance`` fixes sets that dominate every alternative, class by class with their multiplicities: a full
   piece alone; an item that no other item fits alone; a pair that fills a sequence exactly; a pair where no third
-  item could join; and a pair or triple that outweighs every set of two further items;
+  item could join; and, where no three further items fit, the pair that outweighs every two further items, or the
+  fullest triple if its larger item is the largest that fits and no two items of sizes between its two fit as well;
 * ``best_fit_decreasing`` packs what remains, largest class first, each into the fullest sequences that hold it.
 
 Both give *runs* (size, first rank, count, items per sequence, first sequence, offset): the k-th item of a size has
@@ -290,8 +291,9 @@ def _dominating(plan: Plan, big: int) -> list[int] | None:
     total, pair = _best_pair(sizes, counts, room, big)
     if best >= total:
         return [big, best]
-    # the fullest triple dominates if its larger item is already the largest that fits
-    return [big, *pair] if max(pair) == best else None
+    # the fullest triple dominates if its larger item is the largest that fits and no two items of sizes between fit
+    between = _smallest(sizes[bisect.bisect_right(sizes, min(pair)) : bisect.bisect_left(sizes, best)], counts, 2, {big: 1})
+    return [big, *pair] if max(pair) == best and (len(between) < 2 or sum(between) > room) else None
 
 
 def _best_pair(sizes: list[int], counts: dict[int, int], room: int, big: int) -> tuple[int, list[int]]:
