@@ -8,8 +8,8 @@ depends on the user turn two turns before.  ``link`` then
 * joins calls and results by (conversation, identifier), each side grouped first, so a call repeated or answered many
   times is one row with counts and nothing is gathered in a list;
 * orders calls topologically: where every dependency is earlier than its call, the position is the order (a conversation
-  of any length, no group); conversations with a dependency on a later call are sorted in one task each while they have
-  at most GROUP calls, larger ones by rounds of peeling; calls on or behind a cycle have no order;
+  of any length, no group); a conversation with a dependency on a later call, whatever its size, is sorted in one task
+  that reads its identifiers and positions alone; calls on or behind a cycle have no order;
 * validates arguments against JSON schemas (type, enum, required, properties, additionalProperties, items, bounds);
 * serialises every call with its result as canonical JSON: keys sorted, no spaces, integral numbers without a fraction.
 
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 
 from dagstore.llm import runtime as rt
 
-GROUP = 10_000  # calls of a conversation that is sorted in one task
 STRIDE = 1 << 20  # positions within a turn
 
 BLOCK = re.compile(r"<tool_(call|response)>(.*?)</tool_\1>", re.S)
@@ -171,23 +170,7 @@ def _sorted_group(rows: list[tuple[str, int, list[str]]]) -> dict[str, int | Non
     return dict.fromkeys(at) | dict(zip(order, places, strict=True))
 
 
-def _rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Order of calls of large conversations by peeling: level first, then position.  nodes: conv_id, call_id, position."""
-    left, done, level = rt.materialize(nodes, "left"), None, 0
-    while True:
-        waiting = edges.join(left.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"], "left_semi").select("conv_id", "call_id").distinct()
-        free = rt.materialize(left.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("topo_order", F.lit(level).cast("long") * (1 << 44) + F.col("position")), "free")
-        if free.isEmpty():
-            break
-        done = free if done is None else done.union(free)
-        rest = rt.materialize(left.join(free.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"), "left")
-        rt.discard(left)
-        left, level = rest, level + 1
-    cyclic = left.withColumn("topo_order", F.lit(None).cast("long"))
-    return (cyclic if done is None else done.unionByName(cyclic)).select("conv_id", "call_id", "topo_order")
-
-
-def topological(calls: DataFrame, group: int = GROUP) -> DataFrame:
+def topological(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, n_parents (known ones) and topo_order of calls (conv_id, call_id, position, parents)."""
     calls = rt.materialize(calls.select("conv_id", "call_id", "position", "parents"), "calls")
     wanted = calls.select("conv_id", "call_id", "position", F.explode(F.array_distinct("parents")).alias("parent"))
@@ -198,8 +181,6 @@ def topological(calls: DataFrame, group: int = GROUP) -> DataFrame:
     base = calls.join(counts, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "position", F.coalesce("n_parents", F.lit(0)).cast("long").alias("n_parents"))
     if late.isEmpty():
         return base.select("conv_id", "call_id", "n_parents", F.col("position").alias("topo_order"))
-    size = calls.join(late, "conv_id", "left_semi").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    small, large = size.filter(F.col("n") <= group).select("conv_id"), rt.materialize(size.filter(F.col("n") > group).select("conv_id"), "large")
     known_parents = edges.groupBy("conv_id", "call_id").agg(F.collect_set("parent").alias("parents"))
     nodes = calls.select("conv_id", "call_id", "position")
 
@@ -209,9 +190,7 @@ def topological(calls: DataFrame, group: int = GROUP) -> DataFrame:
         pdf["topo_order"] = pdf["topo_order"].astype("Int64")
         return pdf[["conv_id", "call_id", "topo_order"]]
 
-    grouped = nodes.join(small, "conv_id", "left_semi").join(known_parents, ["conv_id", "call_id"], "left").groupBy("conv_id").applyInPandas(sort, "conv_id bigint, call_id string, topo_order bigint")
-    if not large.isEmpty():
-        grouped = grouped.union(_rounds(nodes.join(large, "conv_id", "left_semi"), edges.join(large, "conv_id", "left_semi").select("conv_id", "call_id", "parent")))
+    grouped = nodes.join(late, "conv_id", "left_semi").join(known_parents, ["conv_id", "call_id"], "left").groupBy("conv_id").applyInPandas(sort, "conv_id bigint, call_id string, topo_order bigint")
     again = grouped.withColumn("again", F.lit(True))
     out = base.join(again, ["conv_id", "call_id"], "left")
     return out.select("conv_id", "call_id", "n_parents", F.when(F.col("again"), F.col("topo_order")).otherwise(F.col("position")).alias("topo_order"))
@@ -220,7 +199,7 @@ def topological(calls: DataFrame, group: int = GROUP) -> DataFrame:
 OUTPUT = "conv_id bigint, call_id string, status string, name string, topo_order bigint, n_parents bigint, n_calls bigint, n_results bigint, valid boolean, errors string, json string"
 
 
-def link(found: DataFrame, schemas: dict[str, dict], group: int = GROUP) -> DataFrame:
+def link(found: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """One row per identifier of the records found; see the module's text."""
     found = rt.materialize(found, "records")
     key = ["conv_id", "call_id"]
@@ -228,7 +207,7 @@ def link(found: DataFrame, schemas: dict[str, dict], group: int = GROUP) -> Data
     calls = found.filter("kind = 'call'").groupBy(*key).agg(first.alias("c"), F.count(F.lit(1)).alias("n_calls"))
     answer = F.min(F.struct("position", "body"))
     results = found.filter("kind = 'result'").groupBy(*key).agg(answer.alias("r"), F.count(F.lit(1)).alias("n_results"))
-    order = topological(calls.select(*key, "c.position", "c.parents"), group)
+    order = topological(calls.select(*key, "c.position", "c.parents"))
     both = calls.join(order, key).join(results, key, "full_outer")
     flat = both.select(
         "conv_id",
