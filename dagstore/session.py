@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: list[str] = []
+_written: dict[str, None] = {}  # tables of materialize(), oldest first
 
 
 def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -27,12 +30,18 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where the session names none (tests, a single machine)."""
+    """The folder that all executors share, as the session names it in spark.checkpoint.dir.
+
+    Only a session on one machine may leave it unset: it gets a temporary folder of its own, gone when Python ends.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _fallback:
         _fallback.append(tempfile.mkdtemp(prefix="dagstore-"))
+        atexit.register(shutil.rmtree, _fallback[0], ignore_errors=True)
     return _fallback[0]
 
 
@@ -41,4 +50,27 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._dagstore_path = path
+    _written[path] = None
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written.pop(path, None)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() wrote and that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_dagstore_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes every table that materialize() wrote and that is still there, once the results that read them are written."""
+    for path in list(_written):
+        _delete(spark, path)
