@@ -391,7 +391,7 @@ def assign(pieces: DataFrame, runs: list[Run], salts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(b.columns[: len(names)], schema, strict=False)], *map(pa.array, new)], schema=schema)
 
     cols = [*[F.col(f"`{c}`") for c in names], (F.col("__row") + F.col("__ahead")).alias("__rank")]
-    return rt.map_arrow(ranked.select(*cols), run, ddl, 4096)
+    return rt.map_arrow(ranked.select(*cols), run, ddl)
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, separator: int = SEPARATOR, keep_ids: bool = False) -> DataFrame:

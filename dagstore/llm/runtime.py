@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from dagstore.session import discard, materialize, shared_dir
+
+__all__ = ["discard", "materialize", "shared_dir"]
+
 #: Rows in an Arrow batch handed to Python; bounds a worker's memory with whole texts in a batch.
 ARROW_ROWS = 512
 #: Rows decoded to Python objects at once.
@@ -21,41 +23,8 @@ SLICE_ROWS = 128
 #: Bytes decoded at once, unless one row has more: words and ids of a slice take many times its bytes.
 SLICE_BYTES = 1 << 20
 
-_fallback: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it in spark.checkpoint.dir.
-
-    Only where the setting is absent (tests, a single machine) a temporary folder takes its place.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if "dir" not in _fallback:
-        _fallback["dir"] = tempfile.mkdtemp(prefix="dagstore-")
-    return _fallback["dir"]
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: the lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._dagstore_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that materialize() wrote and that nothing reads any more."""
-    for df in tables:
-        path = getattr(df, "_dagstore_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
+#: Bytes of an Arrow batch, where Spark knows the setting.
+ARROW_BYTES = 4 << 20
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -79,8 +48,8 @@ def _return_memory() -> None:
         pass
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, rows: int = ARROW_ROWS) -> DataFrame:
-    """mapInArrow with small batches, so that a batch of very long texts stays bounded.
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow with small batches, so that a batch of very long texts stays bounded; every plan asks for the same size.
 
     A worker serves every operator in turn: what other operators keep in it goes before a task, freed memory after.
     """
@@ -95,7 +64,8 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
         finally:
             _return_memory()
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return df.mapInArrow(run, schema)
 
 
@@ -130,23 +100,32 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def drop_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of df whose key is not among ids (null matches null), every column kept.
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores after it as it takes to clash with no column of df."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def drop_rows(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of df whose values in the columns of keys are not among keys (null matches null), every column of df kept.
 
-    The ids are written first: their size is then known, so that Spark broadcasts them only below its threshold.
+    The keys are written first: their size is then known, so that Spark broadcasts them only below its threshold.
     """
-    b = materialize(ids.select(F.col(key).alias("__drop_id")).distinct(), "ids")
-    return df.join(b, df[key].eqNullSafe(b["__drop_id"]), "left_anti")
+    names = {k: fresh(df, f"drop_{k}") for k in keys.columns}
+    b = materialize(keys.select(*[F.col(f"`{k}`").alias(n) for k, n in names.items()]).distinct(), "dropped")
+    on = [df[f"`{k}`"].eqNullSafe(b[f"`{n}`"]) for k, n in names.items()]
+    return df.join(b, on, "left_anti")
 
 
 def keep_first(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row of each key that repeats, the least in all columns; rows with a null key stay."""
-    many = materialize(df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col(key).isNotNull() & (F.col("__n") > 1)).select(F.col(key).alias("__many")), "repeated")
-    if many.isEmpty():
-        return df
-    again = df.join(many, df[key] == many["__many"], "left_semi")
-    first = again.groupBy(key).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("__row"))
-    return drop_ids(df, many.withColumnRenamed("__many", key), key).unionByName(first.select("__row.*"))
+    n, row = fresh(df, "n"), fresh(df, "row")
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(n)).filter(F.col(key).isNotNull() & (F.col(n) > 1))
+    many = materialize(counts.select(key), "repeated")
+    again = df.join(many.withColumnRenamed(key, fresh(df, "many")), df[key] == F.col(fresh(df, "many")), "left_semi")
+    first = again.groupBy(key).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias(row))
+    return drop_rows(df, many).unionByName(first.select(f"{row}.*"))
 
 
 def filter_rows(df: DataFrame, column: str, keep: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
