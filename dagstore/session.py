@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROW_GROUP = 16 << 20  # bytes that a writer of a table holds before they go out
+
 _fallback: list[str] = []
 _written: dict[str, None] = {}  # tables of materialize(), oldest first
 
@@ -49,7 +51,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._dagstore_path = path
     _written[path] = None
