@@ -17,12 +17,15 @@ So every pair that shares a band is either verified, within one component alread
 similarity 0.75 share no band with a chance under 1e-5 (32 bands of 4), nearer ones with a far smaller one.
 
 Hot buckets and hubs: members stay rows, joined on the bucket key (a side that AQE may split); pairs of one hub are
-salted in blocks of BLOCK members, the hub's set being repeated for each block.
+salted in blocks of BLOCK members, the hub's set being repeated for each block.  In step 4 the smaller text of a pair
+must share one of its rarest n / 7 shingles, the larger one of its rarest quarter; so a passage that many texts share
+pairs them only where it is nearly all of the smaller one.
 
 Words: runs without ASCII white space, A-Z lower-cased.  Set: distinct 5-word shingles, or the whole sequence of fewer
 words; a null, empty or blank text has the empty set and links with nothing.  Defined results: rows with one doc_id are
-one node (if their texts differ, it has the links of each); a null doc_id takes part in no link but those of its text,
-and is kept only if no other document has its component; an empty table gives an empty table; other columns don't matter.
+one node, whatever their texts: it has the links of each, and so joins their groups; a null doc_id takes part in no link
+but those of its text, and is kept only if no other document has its component; an empty table gives an empty table; other
+columns, of whatever name, don't matter.
 """
 
 from __future__ import annotations
@@ -187,14 +190,15 @@ def components(edges: DataFrame) -> DataFrame:
         if state == after:
             break
         state = after
+    # what is left is a star from each component's least id
     roots = now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()
     return now.select(F.col("b").alias("id"), F.col("a").alias("component")).union(roots)
 
 
-def link(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) between representatives, and the component of each linked one.
+def link(docs: DataFrame, texts: DataFrame, same: DataFrame) -> DataFrame:
+    """The component (id, component) of every linked representative.
 
-    docs: doc_id, text; texts: doc_id (of the representative), n_shingles, bands.
+    docs: doc_id, text; texts: doc_id (of the representative), bands; same: representatives (a, b) that are one node.
     """
     entries = texts.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     crowded = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
@@ -202,26 +206,27 @@ def link(docs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     degree = members.groupBy("id").agg(F.sum("m").alias("degree"))
     w = Window.partitionBy("key").orderBy(F.col("degree").desc(), "id")
     hubs = members.select("key", "id").join(degree, "id").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= HUBS)
-    hubs = rt.materialize(hubs.select("key", F.col("id").alias("hub"), "r"), "hubs")
+    hubs = rt.materialize(hubs.select("key", F.col("id").alias("hub")), "hubs")
     first = members.select("key", "id").join(hubs, "key").filter("id <> hub").select("hub", "id").distinct()
     first = rt.materialize(first, "pairs")
     ids = first.select(F.col("hub").alias("doc_id")).union(first.select(F.col("id").alias("doc_id")))
     sets = rt.materialize(full_sets(docs, ids), "sets")
-    links = rt.materialize(verify(first, sets), "links")
+    links = rt.materialize(verify(first, sets).union(same), "links")
+    rt.discard(hubs, first)
     groups = rt.materialize(components(links), "components")
 
     # pairs of non-hubs of one bucket in different components
     labelled = members.filter(F.col("m") > HUBS + 1).select("key", "id").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     open_ = rt.materialize(labelled.join(mixed, "key", "left_semi").select("id", "component").distinct(), "open")
-    if open_.isEmpty():
-        return links, groups
     second = rt.materialize(residual_pairs(open_, sets), "pairs")
     more = rt.materialize(verify(second, sets), "links")
-    if more.isEmpty():
-        return links, groups
-    every = links.union(more)
-    return every, rt.materialize(components(every), "components")
+    rt.discard(members, open_, second, sets)
+    if not more.isEmpty():
+        old, groups = groups, rt.materialize(components(links.union(more)), "components")
+        rt.discard(old)
+    rt.discard(links, more)
+    return groups
 
 
 def residual_pairs(open_: DataFrame, sets: DataFrame) -> DataFrame:
@@ -231,18 +236,24 @@ def residual_pairs(open_: DataFrame, sets: DataFrame) -> DataFrame:
     first n - ceil(0.75 * n) + 1 of each; if their first common one stands at places i and j, they share at most
     min(n - i, n' - j) in all, which must reach 3 / 7 of n + n'.
     """
-    own = sets.join(open_.select(F.col("id").alias("doc_id"), "component"), "doc_id").dropDuplicates(["doc_id"])
-    every = own.select(F.col("doc_id").alias("id"), "component", F.size("set").alias("n"), F.explode("set").alias("h"))
+    own = sets.join(open_.select(F.col("id").alias("doc_id"), "component"), "doc_id").withColumn("k", F.xxhash64("set")).dropDuplicates(["doc_id", "k"])
+    every = own.select(F.col("doc_id").alias("id"), "k", "component", F.size("set").alias("n"), F.explode("set").alias("h"))
     frequency = every.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    w = Window.partitionBy("id").orderBy("df", "h")
+    w = Window.partitionBy("id", "k").orderBy("df", "h")
     placed = every.join(frequency, "h").withColumn("at", F.row_number().over(w) - 1)
     head = placed.filter("df > 1 and at <= n - ceil(0.75 * n)").select("h", "id", "component", "n", "at")
-    per = head.groupBy("h", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("k"))
-    head = rt.materialize(head.join(per.filter("k > 1").select("h", "main"), "h"), "prefixes")
-    # a shingle's largest component is never paired with itself: the others are paired with all
-    x, y = head.filter("component <> main").alias("x"), head.alias("y")
-    linkable = F.expr("x.component <> y.component and (y.component = y.main or x.id < y.id) and 7 * least(x.n - x.at, y.n - y.at) >= 3 * (x.n + y.n)")
-    return x.join(y, (F.col("x.h") == F.col("y.h")) & linkable).select(F.least("x.id", "y.id").alias("hub"), F.greatest("x.id", "y.id").alias("id")).distinct()
+    per = head.groupBy("h", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("several"))
+    head = rt.materialize(head.join(per.filter("several > 1").select("h", "main"), "h"), "prefixes")
+    # the smaller text stands first; a shingle's largest component never meets itself
+    small, large = head.filter("7 * at <= n"), head
+    linkable = F.expr("x.component <> y.component and x.n <= y.n and 7 * least(x.n - x.at, y.n - y.at) >= 3 * (x.n + y.n)")
+
+    def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+        both = x.alias("x").join(y.alias("y"), (F.col("x.h") == F.col("y.h")) & linkable)
+        return both.select(F.least("x.id", "y.id").alias("hub"), F.greatest("x.id", "y.id").alias("id"))
+
+    other, main = "component <> main", "component = main"
+    return pairs(small.filter(other), large).union(pairs(small.filter(main), large.filter(other))).distinct()
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,13 +263,23 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     texts = marks.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"))
     bands_of = marks.select("set_key", "doc_id", "bands").filter("set_key is not null")
     reps = texts.join(bands_of, (texts.set_key == bands_of.set_key) & (texts.rep == bands_of.doc_id)).select(texts.set_key, F.col("rep").alias("doc_id"), "bands").dropDuplicates(["set_key"])
-    _, groups = link(docs, reps.select("doc_id", "bands"))
+    # an id with several texts is one node: the representatives of its texts belong together
+    several = marks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
+    rows = marks.join(several, "doc_id", "left_semi").select("doc_id", "set_key").distinct()
+    of_id = rt.materialize(rows.join(texts.select("set_key", "rep"), "set_key", "left"), "several")
+    least = of_id.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    same = of_id.join(least, "doc_id").filter("rep > a").select("a", F.col("rep").alias("b")).distinct()
+    groups = link(docs, reps.select("doc_id", "bands"), same)
     rep_component = texts.join(groups, texts.rep == groups.id, "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    return label(marks, rep_component)
+    # and where one of its texts has no shingles, that row goes with the others
+    of_rep = least.filter("a is not null").join(groups, least.a == groups.id, "left").select("doc_id", F.coalesce("component", "a").alias("component"))
+    return label(marks, rep_component, of_rep)
 
 
-def label(marks: DataFrame, rep_component: DataFrame) -> DataFrame:
-    """Every row's component: by its text; rows of one doc_id share the least of theirs."""
-    named = marks.select("doc_id", "set_key", "n_shingles").join(rep_component, "set_key", "left")
+def label(marks: DataFrame, rep_component: DataFrame, of_id: DataFrame) -> DataFrame:
+    """Every row's component: by its text; a row without shingles by its id's other texts, or its own id."""
+    rows = marks.select("doc_id", "set_key", "n_shingles")
+    named = rows.filter("set_key is not null").join(rep_component, "set_key", "left").select("doc_id", "n_shingles", "component")
+    empty = rows.filter("set_key is null").join(of_id, "doc_id", "left").select("doc_id", "n_shingles", "component")
     component = F.coalesce("component", "doc_id")
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return named.union(empty).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))

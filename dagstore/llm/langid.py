@@ -10,14 +10,18 @@ bounded part, and every text is scored whole.  ``score`` is the nearest language
 sum of the two nearest (0.5: no preference; 1: alone or an exact match).
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is everything where nothing was
-learned; documents with a null lang are never learned from; repeated rows repeat; an empty table gives an empty table.
+learned; documents with a null lang are never learned from; of training rows of one id and lang the least text counts;
+rows with a null id are predicted, not learned from; repeated rows repeat; an empty table gives an empty table; other
+columns, of whatever name, don't matter.
 """
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dagstore.llm import runtime as rt
@@ -28,24 +32,26 @@ UNKNOWN = "und"
 SIGMAS = 4  # standard deviations above the mean distance of labelled texts from which a text is like no language
 LEAST = 30  # labelled texts and pieces of a length from which its distances are judged
 PIECES = (1, 2, 4, 8, 16, 32)  # words of the pieces of labelled texts that show how far short texts lie
-_BITS, _MASK = 20, (1 << 20) - 1
+_BITS = 18  # all letters of Unicode, numbered, take no more
 
-_letters: np.ndarray | None = None
+_numbers: np.ndarray | None = None
 
 
 def letter_table() -> np.ndarray:
-    """Is the code point (below 2**20) a letter."""
-    global _letters
-    if _letters is None:
-        _letters = np.zeros(1 << _BITS, bool)
-        _letters[[c for c in range(0x30000) if chr(c).isalpha()]] = True
-    return _letters
+    """The number of every code point among the letters, in their order, from 1; 0 for what is no letter."""
+    global _numbers
+    if _numbers is None:
+        _numbers = np.zeros(sys.maxunicode + 1, np.int64)
+        letters = [c for c in range(sys.maxunicode + 1) if chr(c).isalpha()]
+        assert len(letters) < 1 << _BITS
+        _numbers[letters] = np.arange(1, len(letters) + 1)
+    return _numbers
 
 
 def ngrams(text: str | None) -> np.ndarray:
     """Keys of all 1- to 3-grams of the words of a text, with repetition."""
-    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) & _MASK
-    codes = np.concatenate(([0], np.where(letter_table()[codes], codes, 0), [0]))
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.concatenate(([0], letter_table()[codes], [0]))
     codes = codes[np.append(True, (codes[1:] != 0) | (codes[:-1] != 0))]
     if len(codes) < 3:
         return np.zeros(0, np.int64)
@@ -125,15 +131,34 @@ class Limits:
 
 
 def sample(df: DataFrame, by: str, bound: int, id_col: str = "doc_id") -> DataFrame:
-    """At most bound rows of each value of by: those with the least hash of their id.  Give it ids alone, no texts.
+    """by and id of at most bound ids of each value of by: those with the least hash; null ids are left out.
 
     A threshold on the hash, set from the counts, comes first, so that only about twice the bound is ever sorted.
     """
-    h = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("__h")
-    n = df.groupBy(by).agg(F.count(F.lit(1)).alias("__n"))
-    hashed = df.select("*", h).join(n, by).filter(F.col("__h") < (F.lit(1 << 30) * F.lit(2.0 * bound) / F.col("__n")))
-    w = Window.partitionBy(by).orderBy("__h", id_col)
-    return hashed.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= bound).drop("__h", "__n", "__k")
+    df = only_distinct(df, by, id_col)
+    n = rt.materialize(df.groupBy("by").agg(F.count(F.lit(1)).alias("n")), "counts")  # its size is known: no shuffle by what may be a hot value
+    hashed = df.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 30))).join(n, "by").filter(F.col("h") < (F.lit(1 << 30) * F.lit(2.0 * bound) / F.col("n")))
+    w = Window.partitionBy("by").orderBy("h", "id")
+    return hashed.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= bound).select(F.col("by").alias(by), F.col("id").alias(id_col))
+
+
+def only_distinct(df: DataFrame, by: str, id_col: str) -> DataFrame:
+    return df.select(F.col(f"`{by}`").alias("by"), F.col(f"`{id_col}`").alias("id")).filter("id is not null").distinct()
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, train: Column | None, id_col: str, text_col: str, bound: int) -> DataFrame:
+    """label (0/1) and text of at most bound labelled documents whose id meets train (a condition on the id column).
+
+    Several labels of an id count as their mean rounded; of its texts the least stands for it.
+    """
+    rows = rt.only(labels, id_col, label_col).dropna()
+    if train is not None:
+        rows = rows.filter(train)
+    one = rt.materialize(rows.groupBy(id_col).agg(F.round(F.avg(label_col)).cast("int").alias("label")), "labels")
+    chosen = sample(one.select(F.lit(0).alias("all"), F.col(f"`{id_col}`").alias("id")), "all", bound, "id")
+    found = rt.materialize(one.withColumnRenamed(id_col, "id").join(chosen.select("id"), "id"), "sample")  # at most bound rows
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(found), "id")
+    return texts.groupBy("id").agg(F.first("label").alias("label"), F.min("text").alias("text")).select("label", "text")
 
 
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = PROFILE) -> dict[str, list[int]]:
@@ -174,8 +199,8 @@ def train(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def _labelled(training: DataFrame, id_col: str, text_col: str, lang_col: str, bound: int) -> DataFrame:
     labelled = rt.only(training, id_col, text_col, lang_col).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    chosen = sample(labelled.select(id_col, lang_col), lang_col, bound, id_col)  # bound ids of each language
-    return labelled.join(F.broadcast(chosen.select(id_col)), id_col, "left_semi")
+    chosen = rt.materialize(sample(labelled.select(id_col, lang_col), lang_col, bound, id_col), "sample")  # bound ids of each language
+    return labelled.join(chosen, [id_col, lang_col], "left_semi").groupBy(id_col, lang_col).agg(F.min(text_col).alias(text_col))
 
 
 def limits(docs: DataFrame, profiles: dict[str, list[int]], max_distance: float, text_col: str = "text") -> Limits:

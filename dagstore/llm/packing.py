@@ -11,17 +11,21 @@ corpus holds; that histogram alone comes to the driver.  There
 * ``best_fit_decreasing`` packs what remains, largest class first, each into the fullest sequences that hold it.
 
 Both give *runs* (size, first rank, count, items per sequence, first sequence, offset): the k-th item of a size has
-its place by arithmetic.  Ranks within a size are dealt out without gathering a size in one task: items are counted
-by (size, salt), the salts' offsets summed, and rows numbered within (size, salt).
+its place by arithmetic.  Ranks within a size are dealt out without gathering a size in one task: every piece is written
+with a salt of its own, counted up in its task, so repeated rows differ too; items are counted by (size, salt), the
+salts' offsets summed, and rows numbered within (size, salt).
+
+``WordTokenizer`` knows the pre-tokenisation of one kind of vocabulary; texts go whole through any other.
 
 Defined results: a null text is the empty text, one piece of the separator alone; repeated rows are packed like
-any others, as are rows with a null id; an empty table gives an empty table; other columns don't matter.
+any others, as are rows with a null id; an empty table gives an empty table; other columns, of whatever name, don't matter.
 """
 
 from __future__ import annotations
 
 import bisect
 import codecs
+import json
 import os
 import re
 import zlib
@@ -29,6 +33,7 @@ from itertools import chain
 
 import numpy as np
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,14 +183,43 @@ class WordTokenizer:
         return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+class PlainTokenizer:
+    """Ids of whole texts by any vocabulary of the tokenizers library."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+# fixed values: how a vocabulary must normalise and cut texts for WordTokenizer
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def cuts_words(path: str) -> bool:
+    """Does the vocabulary lower-case texts and cut them as WordTokenizer does, no token crossing white space."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    cut = (found.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = cut and cut[0].get("pattern") == {"Regex": SPLIT} and cut[0].get("invert") and cut[0].get("behavior") == "Removed"
+    raw = len(cut) == 2 and cut[1].get("type") == "ByteLevel" and not cut[1].get("add_prefix_space") and not cut[1].get("use_regex")
+    return bool(split and raw and (found.get("normalizer") or {}).get("normalizers") == NORMALIZERS and found["model"].get("end_of_word_suffix") == "</w>")
+
+
+_tokenizers: dict[str, WordTokenizer | PlainTokenizer] = {}
 rt.keeps(__name__, _tokenizers.clear)
 
 
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str) -> WordTokenizer | PlainTokenizer:
     """The worker's own tokenizer, kept with its words from task to task."""
     if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
+        _tokenizers[path] = WordTokenizer(path) if cuts_words(path) else PlainTokenizer(path)
     return _tokenizers[path]
 
 
@@ -195,22 +229,24 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def tokenize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, separator: int = SEPARATOR, keep_ids: bool = False) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, and with keep_ids the ids as a binary column."""
-    ddl = f"{id_col} {dict(df.dtypes)[id_col]}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * keep_ids
+def tokenize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, separator: int = SEPARATOR, keep_ids: bool = False, salts: int = 0) -> DataFrame:
+    """One row per piece: id, piece, start, length, ids_crc32; with keep_ids the ids as a binary column; with salts a column salt below that number."""
+    ddl = f"{id_col} {dict(df.dtypes)[id_col]}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * keep_ids + ", salt int" * bool(salts)
     path = vocabulary or default_vocabulary()
 
     schema = rt.arrow_schema(ddl)
 
     def run(batches):
-        tok, end = tokenizer(path), separator.to_bytes(4, "little")
+        tok, end, context = tokenizer(path), separator.to_bytes(4, "little"), TaskContext.get()
+        count = context.partitionId() if context else 0
         for b in rt.slices(batches):
             out = []
             for i, raw in zip(b.column(0).to_pylist(), tok.encode_texts([t or "" for t in b.column(1).to_pylist()]), strict=True):
                 raw += end
                 for k, a in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[a : a + 4 * capacity]
-                    out.append((i, k, a // 4, len(part) // 4, zlib.crc32(part), *((part,) if keep_ids else ())))
+                    out.append((i, k, a // 4, len(part) // 4, zlib.crc32(part), *((part,) if keep_ids else ()), *((count % salts,) if salts else ())))
+                    count += 1
             yield rt.to_batch(schema, list(map(list, zip(*out, strict=True))))
 
     return rt.map_arrow(rt.only(df, id_col, text_col), run, ddl)
@@ -358,20 +394,19 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Run],
     return plan.runs, plan.sequences
 
 
-def assign(pieces: DataFrame, runs: list[Run], salts: int) -> DataFrame:
-    """Adds sequence_id and offset to pieces (column length), each item by its rank within its size."""
-    p = pieces.withColumn("__salt", F.pmod(F.hash(*[F.col(c) for c in pieces.columns]), F.lit(salts)))
-    w = Window.partitionBy("length").orderBy("__salt")
-    ahead = p.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n"))
-    ahead = ahead.select("length", "__salt", (F.sum("__n").over(w) - F.col("__n")).alias("__ahead"))
-    order = [F.col(c) for c in pieces.columns if c != "ids"]
-    ranked = p.withColumn("__row", F.row_number().over(Window.partitionBy("length", "__salt").orderBy(*order)) - 1)
-    ranked = ranked.join(ahead, ["length", "__salt"])
+def assign(pieces: DataFrame, runs: list[Run]) -> DataFrame:
+    """pieces without salt, with sequence_id and offset: each item by its rank within its size (columns length and salt)."""
+    w = Window.partitionBy("length").orderBy("salt")
+    ahead = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
+    ahead = ahead.select("length", "salt", (F.sum("n").over(w) - F.col("n")).alias("ahead"))
+    names = [c for c in pieces.columns if c != "salt"]
+    order = [F.col(f"`{c}`") for c in names if c != "ids"]
+    ranked = pieces.withColumn("row", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order)) - 1)
+    ranked = ranked.join(ahead, ["length", "salt"])
     # at most a few runs for each of the capacity's sizes, whatever the corpus holds
     runs = sorted(runs)
     table = [np.array([r[k] for r in runs], np.int64) for k in range(6)]
-    names = [*pieces.columns]
-    ddl = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes) + ", sequence_id bigint, offset bigint"
+    ddl = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes if c != "salt") + ", sequence_id bigint, offset bigint"
     where = names.index("length")
     shared = pieces.sparkSession.sparkContext.broadcast(table)
 
@@ -390,13 +425,16 @@ def assign(pieces: DataFrame, runs: list[Run], salts: int) -> DataFrame:
             new = [sequence[at] + k // per[at], offset[at] + k % per[at] * length]
             yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(b.columns[: len(names)], schema, strict=False)], *map(pa.array, new)], schema=schema)
 
-    cols = [*[F.col(f"`{c}`") for c in names], (F.col("__row") + F.col("__ahead")).alias("__rank")]
+    cols = [*[F.col(f"`{c}`") for c in names], F.col("row") + F.col("ahead")]
     return rt.map_arrow(ranked.select(*cols), run, ddl)
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, separator: int = SEPARATOR, keep_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their place: tokenize(), then sequence_id and offset."""
-    pieces = rt.materialize(tokenize(df, id_col, text_col, vocabulary, capacity, separator, keep_ids), "pieces")
+    salts = max(2, rt.partitions(df.sparkSession))
+    id_ = "doc_id" if id_col.lower() in ("row", "ahead", "n") else id_col  # names of our own
+    docs = df.select(F.col(f"`{id_col}`").alias(id_), F.col(f"`{text_col}`").alias("text"))
+    pieces = rt.materialize(tokenize(docs, id_, "text", vocabulary, capacity, separator, keep_ids, salts), "pieces")
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
     runs, _ = solve(counts, capacity)
-    return assign(pieces, runs, rt.partitions(df.sparkSession))
+    return assign(pieces, runs).withColumnRenamed(id_, id_col)

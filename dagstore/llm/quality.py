@@ -5,12 +5,14 @@ character classes and of pairs of classes, word lengths, capitals, repeated and
 embeds each passage; gated attention, softmax over w . (tanh(V h) * sigmoid(U h)), weighs the passages; the weighted
 sum of the embeddings is scored by a logistic unit.  All weights are learned together from the documents' labels.
 
-Training uses at most SAMPLE labelled documents, those with the least hash of their id (the documented bound, and what
-comes to the driver); every whole text is scored.
+Training uses at most SAMPLE labelled documents, those with the least hash of their id, and of each at most PASSAGES
+passages spread evenly over its whole text (the documented bounds of what comes to the driver); the passes over them are
+EPOCHS, however many there are.  Every passage of every whole text is scored.
 
 Defined results: a null or empty text is one empty passage, scored like any other; where nothing can be learned (no
 labels, or one class alone) every score is the share of label 1, 0.5 without labels; several labels of a document
-count as their mean rounded; repeated rows repeat; an empty table gives an empty table.
+count as their mean rounded; of training rows of one id the least text counts; rows with a null id are scored, not
+learned from; repeated rows repeat; an empty table gives an empty table; other columns, of whatever name, don't matter.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dagstore.llm import runtime as rt
-from dagstore.llm.langid import sample
+from dagstore.llm.langid import training_rows
 
 PASSAGE = 48
 SAMPLE = 4000
+PASSAGES = 64
 HIDDEN, ATTENTION = 16, 8
 EPOCHS, RATE, DECAY = 150, 0.02, 1e-4
 
@@ -140,8 +143,6 @@ class Attention:
         r = np.random.default_rng(11)
         m, v, step = {k: 0.0 for k in self.w}, {k: 0.0 for k in self.w}, 0
         at, size = np.cumsum(n) - n, 256
-        every = max(1, -(-len(n) // size))
-        epochs = max(20, min(epochs, 2400 // every))
         for epoch in range(epochs):
             order = r.permutation(len(n))
             rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
@@ -156,8 +157,8 @@ class Attention:
                     self.w[name] = self.w[name] - rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)
 
 
-def learn(labelled: DataFrame, bound: int = SAMPLE, text_col: str = "text", label_col: str = "label") -> dict:
-    """Weights from rows (text, label 0/1); at most bound rows come to the driver, as passage features."""
+def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "label", passages: int = PASSAGES) -> dict:
+    """Weights from rows (text, label 0/1), a bounded sample; at most passages passages of each come to the driver."""
     ddl = "label int, n int, x binary"
     schema = rt.arrow_schema(ddl)
 
@@ -165,8 +166,8 @@ def learn(labelled: DataFrame, bound: int = SAMPLE, text_col: str = "text", labe
         for b in rt.slices(batches):
             labels, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             x, n = encode(texts)
-            ends = np.cumsum(n)
-            yield rt.to_batch(schema, [labels, n.tolist(), [x[e - k : e].astype(np.float32).tobytes() for e, k in zip(ends, n, strict=True)]])
+            bags = [x[e - k : e][np.arange(min(k, passages)) * k // min(k, passages)] for e, k in zip(np.cumsum(n), n, strict=True)]
+            yield rt.to_batch(schema, [labels, [len(g) for g in bags], [g.astype(np.float32).tobytes() for g in bags]])
 
     rows = rt.map_arrow(labelled.select(F.col(label_col).cast("int").alias("label"), text_col), run, ddl).toLocalIterator()
     bags: list[np.ndarray] = []
@@ -178,10 +179,11 @@ def learn(labelled: DataFrame, bound: int = SAMPLE, text_col: str = "text", labe
     if share in (0, 1) or not y:
         return {"share": share}
     order = sorted(range(len(bags)), key=lambda k: (bags[k].tobytes(), y[k]))  # whatever order the rows came in
-    x, n, y_ = np.concatenate([bags[k] for k in order]).astype(float), np.array([len(bags[k]) for k in order]), np.array([y[k] for k in order], float)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+    x, n, y_ = np.concatenate([bags[k] for k in order]), np.array([len(bags[k]) for k in order]), np.array([y[k] for k in order], float)
+    bags.clear()
+    mean, scale = x.mean(axis=0, dtype=float), x.std(axis=0, dtype=float) + 1e-3
     model = Attention(Attention.start())
-    model.fit(np.clip((x - mean) / scale, -8, 8), n, y_)
+    model.fit(np.clip((x - mean) / scale, -8, 8).astype(np.float32), n, y_)
     return {"share": share, "mean": mean, "scale": scale, "weights": model.w}
 
 
@@ -194,12 +196,7 @@ def score_texts(texts: list[str | None], model: dict) -> list[float]:
 
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", bound: int = SAMPLE) -> DataFrame:
     """id and score of every row of docs; learned from the labels whose id meets train (a condition on the id column)."""
-    rows = rt.only(labels, id_col, label_col).dropna()
-    if train is not None:
-        rows = rows.filter(train)
-    one = rows.groupBy(id_col).agg(F.round(F.avg(label_col)).cast("int").alias("label"))
-    chosen = sample(one.withColumn("__all", F.lit(0)), "__all", bound, id_col).select(id_col, "label")
-    model = learn(rt.only(docs, id_col, text_col).join(F.broadcast(chosen), id_col).select("label", text_col), bound, text_col)
+    model = learn(training_rows(docs, labels, label_col, train, id_col, text_col, bound))
     return score(docs, model, id_col, text_col)
 
 

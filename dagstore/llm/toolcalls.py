@@ -14,9 +14,11 @@ depends on the user turn two turns before.  ``link`` then
 * serialises every call with its result as canonical JSON: keys sorted, no spaces, integral numbers without a fraction.
 
 Defined results: of calls (results) with one identifier the earliest, then least in text, stands for all; a result
-without a call is an ``orphan`` row, a call without a result ``unanswered``; malformed blocks are calls with the error
-``json`` and a name of null; null texts say nothing; rows with a null conversation or turn are ignored; an empty table
-gives an empty table; other columns don't matter.
+without a call is an ``orphan`` row, a call without a result ``unanswered``; malformed blocks, which those nested deeper
+than DEPTH are too, are calls with the error ``json`` and a name of null; an unpaired surrogate in JSON stays the escape it
+was; null texts say nothing, an empty one is an empty prompt; rows with a null conversation or turn, or a turn beyond
+LAST_TURN, are ignored; repeated rows count in n_calls and n_results; an empty table gives an empty table; other columns,
+of whatever name, don't matter.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from dagstore.llm import runtime as rt
 
 STRIDE = 1 << 20  # positions within a turn
+LAST_TURN = 1 << 42
+DEPTH = 100  # of nested arrays and objects
 
 BLOCK = re.compile(r"<tool_(call|response)>(.*?)</tool_\1>", re.S)
 
@@ -58,7 +62,28 @@ def canonical(value: object) -> str:
             return int(v) if v.is_integer() and abs(v) < 2**53 else v
         return v
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return escaped(json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+_STRINGS = re.compile(r'"(?:[^"\\]|\\.)*"?', re.S)
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def escaped(text: str) -> str:
+    """text with unpaired surrogates, which no UTF-8 string can hold, as JSON escapes."""
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def too_deep(text: str) -> bool:
+    """Is JSON text nested deeper than DEPTH."""
+    if text.count("[") + text.count("{") <= DEPTH:
+        return False
+    depth = 0
+    for c in re.findall(r"[\[\]{}]", _STRINGS.sub("", text)):
+        depth += 1 if c in "[{" else -1
+        if depth > DEPTH:
+            return True
+    return False
 
 
 _TYPES = {
@@ -108,20 +133,20 @@ def _embedded(conv: int, turn: int, text: str) -> list[tuple]:
     out = []
     for k, m in enumerate(BLOCK.finditer(text), 1):
         try:
-            v = json.loads(m[2])
+            v = {} if too_deep(m[2]) else json.loads(m[2])
             if not isinstance(v, dict):
                 raise ValueError
         except ValueError:
             v = {}
         call_id = v.get("id")
-        call_id = f"{conv}:{turn}.{k}" if call_id is None else str(call_id)
+        call_id = f"{conv}:{turn}.{k}" if call_id is None else escaped(str(call_id))
         if m[1] == "call":
             name = v.get("name")
             refs = v.get("parents")
-            out.append((conv, "call", turn * STRIDE + k, call_id, str(name) if name is not None else None, canonical(v["arguments"]) if "arguments" in v else None, [str(p) for p in refs] if isinstance(refs, list) else []))
+            out.append((conv, "call", turn * STRIDE + k, call_id, escaped(str(name)) if name is not None else None, canonical(v["arguments"]) if "arguments" in v else None, [escaped(str(p)) for p in refs] if isinstance(refs, list) else []))
         else:
             content = v.get("content")
-            out.append((conv, "result", turn * STRIDE + k, call_id, None, content if isinstance(content, str) else canonical(content), []))
+            out.append((conv, "result", turn * STRIDE + k, call_id, None, escaped(content) if isinstance(content, str) else canonical(content), []))
     return out
 
 
@@ -133,7 +158,7 @@ def records(turns: DataFrame, dialogue: bool = True) -> DataFrame:
         for b in rt.slices(batches):
             out: list[tuple] = []
             for conv, turn, role, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if text is None or conv is None or turn is None:
+                if text is None or conv is None or turn is None or abs(turn) > LAST_TURN:
                     continue
                 if "<tool_" in text:
                     out += _embedded(conv, turn, text)

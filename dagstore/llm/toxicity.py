@@ -1,30 +1,41 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Four small transducers are composed over a document's words, clause by clause:
-
-* the **insult** transducer rewrites a word to INSULT with the weight of the longest lexicon entry that accepts it (an
-  entry is a whole word or a stem, which accepts every longer word);
-* the **threat** transducer rewrites threatening verbs to THREAT, the **target** transducer words for a person to
-  TARGET, the **negation** transducer negating words to NOT, the **report** transducer verbs of speech to SAID;
-* the **clause** automaton reads those classes and adds the path's weight: an insult or a threat counts in full, more
-  next to a target, less in the reach of a negation, less in reported speech; any other word moves the reach on.
-
-What is scored is the matched clauses, never a word alone: per document the sums over clauses of the best path's
-weight, of clauses matched and of each kind of match, put through a logistic unit.
-
-The closed-class word lists are given; the insult lexicon, with its weights, and the logistic unit are learned from
-at most SAMPLE labelled documents (those with the least hash of their id), exact copies counted once.  The lexicon is
-at most LEXICON entries, so what is broadcast is bounded; every whole text is scored.
+A document's words become symbols, clause by clause, by a lexical transducer: a deterministic automaton over letters
+whose accepting states hold learned weights (an entry is a whole word or a stem, which accepts every longer word; the
+longest entry decides) rewrites insulting words to INSULT with their weight; closed-class words become THREAT, TARGET
+(a person), NOT and SAID, any other word OTHER.  Four weighted transducers over these symbols are composed into one
+machine, state by state and arc by arc:
+
+* **negation** rewrites a match within REACH symbols after NOT to a negated one, with the weight NEGATED;
+* **reported speech** rewrites a match within REACH after SAID to a reported one, with the weight REPORTED;
+* **target** rewrites a match with a TARGET within REACH before or after it to an aimed one, with the weight AIMED.  It
+  is nondeterministic, guessing what comes after the match, and only the path that guessed right is accepted;
+* **pattern** accepts a clause by one of its matches, of any kind but the kind ``bare threat`` of no weight (threatening
+  words have other uses), so a clause has one accepted path per match.
+
+A clause scores, for every kind of match, the sum over accepted paths of the product of their weights (the real
+semiring).  What a document is scored by are these sums over its matched clauses, how many clauses match, and their
+share of all clauses and words, put through a logistic unit.  A word alone never counts: it does as the match of its
+clause, whose other words decide the kind.  An insult without a target is a match too, as most planted ones are; how
+much each kind counts the unit learns.
+
+The closed-class word lists are given; the insult lexicon, with its weights, and the logistic unit are learned from at
+most SAMPLE labelled documents (those with the least hash of their id), exact copies counted once.  A lexicon entry
+makes up 1 / DENSITY of the words of each of at least 0.5 % of the toxic documents, so there are at most 1400 / 0.005
+entries whatever the corpus holds; every whole text is scored.
 
 Defined results: a null or empty text has no clauses and the score of none; without labels, or with one class alone,
-nothing is learned and every score is the share of label 1 (0 without labels); repeated rows repeat; an empty table
-gives an empty table.
+nothing is learned and every score is the share of label 1 (0 without labels); several labels of an id count as their
+mean rounded; of training rows of one id the least text counts; rows with a null id are scored, not learned from;
+repeated rows repeat; an empty table gives an empty table; other columns, of whatever name, don't matter.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -33,112 +44,222 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dagstore.llm import runtime as rt
-from dagstore.llm.langid import sample
+from dagstore.llm.langid import training_rows
 
 SAMPLE = 12000
-LEXICON = 2000
 STEM = (3, 4, 5, 6, 7, 8)  # lengths of stems that are weighed beside whole words
 MIN_RATIO = 6.0  # times likelier in toxic documents than in others
 MIN_SIGMA = 3.0  # standard errors of the log of that ratio by which it must differ from 0
 DENSITY = 200  # an entry marks a training document that holds it at least once in so many words
-REACH = 3  # words that a negation, a target or a verb of speech reaches over
+REACH = 3  # symbols that a negation, a target or a verb of speech reaches over
+NEGATED, REPORTED, AIMED = 0.5, 0.7, 1.5
 
 # fixed values: closed classes of the four languages
 TARGETS = set("you your yours you're youre u ya yourself he she him her his hers they them their we us our du dich dir dein deine ihr euch euer sie ihn ihm er tu te toi ton ta tes vous votre vos il elle lui leur tú ti usted ustedes vosotros él ella ellos ellas".split())
-THREATS = set("kill kills killed killing hurt hurts destroy die murder shoot stab beat burn töten töte umbringen schlagen vernichten tuer tue tuerai frapper détruire mourir matar mataré golpear destruir morir".split())
+THREATS = set("kill kills killed killing hurt hurts destroy murder shoot stab beat burn töten töte umbringen schlagen vernichten tuer tue tuerai frapper détruire mourir matar mataré golpear destruir morir".split())
 NEGATIONS = set("not no never nobody none neither nor cannot don't dont isn't isnt aren't wasn't won't nicht kein keine keinen nie niemals ne pas jamais aucun aucune ni nunca jamás ningún ninguna tampoco".split())
 REPORTS = set("said says say saying wrote writes told tells claimed claims called calls quoted quote according sagte sagt schrieb behauptet dit disait écrit affirme dijo dice escribió afirma".split())
 
 WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|[.!?;\n]+")
-INSULT, THREAT, TARGET, NOT, SAID, OTHER = range(6)
-FEATURES = 9  # weight of clauses, matched clauses, insults in full, with a target, negated or reported, threats; distinct lexicon words, all words, weight of clauses by words
-
-
-class Trie:
-    """The lexicon as a deterministic acceptor over letters; the longest accepting prefix decides."""
+INSULT, THREAT, TARGET, NOT, SAID, OTHER, END = range(7)
+HIT = -1  # written for the match that accepts a clause
+
+#: Kinds of match: what each word is, whether it is aimed, and whether it is negated or reported.
+KINDS = ("bare insult", "aimed insult", "turned insult", "aimed threat", "bare threat")
+FEATURES = len(KINDS) - 1 + 4
+
+Symbol = int | tuple[int, bool, bool]  # a match: (INSULT or THREAT, aimed, turned)
+Arc = tuple[int, Symbol, float]  # next state, output, weight
+
+
+class Transducer:
+    """States numbered from 0, the start; arcs[state][symbol]: the arcs that read it; accepting states, each with a name."""
+
+    def __init__(self, arcs: list[dict[Symbol, list[Arc]]], accepting: dict[int, object]):
+        self.arcs, self.accepting = arcs, accepting
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: other reads what this one writes.  Only states that can be reached are made."""
+        number, todo, arcs, accepting = {(0, 0): 0}, [(0, 0)], [], {}
+        while todo:
+            p, q = state = todo.pop(0)
+            own: dict[Symbol, list[Arc]] = {}
+            for symbol, choices in self.arcs[p].items():
+                for p2, middle, weight in choices:
+                    for q2, out, more in other.arcs[q].get(middle, ()):
+                        nxt = (p2, q2)
+                        if nxt not in number:
+                            number[nxt] = len(number)
+                            todo.append(nxt)
+                        own.setdefault(symbol, []).append((number[nxt], out, weight * more))
+            arcs.append(own)
+            if p in self.accepting and q in other.accepting:
+                accepting[number[state]] = other.accepting[q]
+        return Transducer(arcs, accepting)
+
+
+def _marker(trigger: int, factor: float) -> Transducer:
+    """Rewrites matches within REACH symbols after the trigger to turned ones, with the factor; state k: k symbols of reach left."""
+    arcs: list[dict[Symbol, list[Arc]]] = []
+    for left in range(REACH + 1):
+        after = max(0, left - 1)
+        own: dict[Symbol, list[Arc]] = {s: [(REACH if s == trigger else after, s, 1.0)] for s in (TARGET, NOT, SAID, OTHER)}
+        for word in (INSULT, THREAT):
+            plain, turned = (word, False, False), (word, False, True)
+            own[word] = own[plain] = [(after, turned, factor) if left else (after, plain, 1.0)]
+            own[turned] = [(after, turned, 1.0)]  # a match is turned once
+        arcs.append(own)
+    return Transducer(arcs, dict.fromkeys(range(REACH + 1)))
+
+
+def _target() -> Transducer:
+    """Marks matches near a TARGET as aimed.
+
+    A state holds how far a target before reaches, in how many symbols one must come, and for how many none may.
+    """
+    states = [(b, e, f) for b in range(REACH + 1) for e in range(REACH + 1) for f in range(REACH + 1)]
+    number = {s: k for k, s in enumerate(states)}
+    arcs: list[dict[Symbol, list[Arc]]] = []
+    for before, expect, forbid in states:
+        own: dict[Symbol, list[Arc]] = {}
+        down = lambda n: max(0, n - 1)
+        if not forbid:
+            own[TARGET] = [(number[REACH, 0, 0], TARGET, 1.0)]
+        if expect != 1:  # else the target was to come now
+            for s in (NOT, SAID, OTHER):
+                own[s] = [(number[down(before), down(expect), down(forbid)], s, 1.0)]
+            for word in (INSULT, THREAT):
+                for turned in (False, True):
+                    aimed, bare = (word, True, turned), (word, False, turned)
+                    if before:
+                        own[bare] = [(number[down(before), down(expect), down(forbid)], aimed, AIMED)]
+                    else:
+                        own[bare] = [(number[0, min(REACH, down(expect) or REACH), down(forbid)], aimed, AIMED)]
+                        own[bare].append((number[0, down(expect), REACH], bare, 1.0))
+        arcs.append(own)
+    return Transducer(arcs, {number[s]: None for s in states if not s[1]})
+
+
+def kind_of(match: tuple[int, bool, bool]) -> int:
+    word, aimed, turned = match
+    if word == INSULT:
+        return 2 if turned else 1 if aimed else 0
+    return 3 if aimed and not turned else 4
+
+
+def _pattern() -> Transducer:
+    """Accepts by one match: state 0 has none yet, state 1 + k one of kind k; matches that are passed over cost nothing."""
+    every = [(w, a, t) for w in (INSULT, THREAT) for a in (False, True) for t in (False, True)]
+    arcs: list[dict[Symbol, list[Arc]]] = []
+    for state in range(len(KINDS)):
+        own: dict[Symbol, list[Arc]] = {s: [(state, s, 1.0)] for s in (TARGET, NOT, SAID, OTHER, *every)}
+        for m in every if state == 0 else ():
+            if kind_of(m) < len(KINDS) - 1:
+                own[m].append((1 + kind_of(m), HIT, 1.0))
+        arcs.append(own)
+    return Transducer(arcs, {1 + k: k for k in range(len(KINDS) - 1)})
+
+
+class Lexicon:
+    """The entries as a deterministic automaton over letters; the longest accepting one decides."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
-        self.words, self.stems = words, stems
-        self.lengths = sorted({len(s) for s in stems}, reverse=True)
-        self.known: dict[str, float] = {}
+        self.next: list[dict[str, int]] = [{}]
+        self.word: dict[int, float] = {}
+        self.stem: dict[int, float] = {}
+        for entries, at in ((words, self.word), (stems, self.stem)):
+            for entry, weight in entries.items():
+                state = 0
+                for letter in entry:
+                    if letter not in self.next[state]:
+                        self.next.append({})
+                        self.next[state][letter] = len(self.next) - 1
+                    state = self.next[state][letter]
+                at[state] = weight
 
     def weight(self, word: str) -> float:
-        got = self.words.get(word)
-        if got is not None:
-            return got
-        for n in self.lengths:
-            if len(word) >= n:
-                got = self.stems.get(word[:n])
-                if got is not None:
-                    return got
-        return 0.0
+        state, found = 0, 0.0
+        for letter in word:
+            state = self.next[state].get(letter, -1)
+            if state < 0:
+                return found
+            found = self.stem.get(state, found)
+        return self.word.get(state, found)
 
 
-class Grammar:
-    """The composed machine: a word becomes (class, weight) once, and clauses are read off a document's classes."""
+_machine: list[Transducer] = []
+
 
-    # weights of the clause automaton
-    FULL, WITH_TARGET, NEGATED, REPORTED, THREAT_ALONE, THREAT_TARGET = 1.0, 1.5, 0.5, 0.7, 0.2, 1.0
+def machine() -> Transducer:
+    if not _machine:
+        _machine.append(_marker(NOT, NEGATED).then(_marker(SAID, REPORTED)).then(_target()).then(_pattern()))
+    return _machine[0]
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], limit: int = 300_000):
-        self.lexicon, self.limit = Trie(words, stems), limit
-        self.classes: dict[str, tuple[int, float]] = {}
 
-    def classify(self, word: str) -> tuple[int, float]:
-        got = self.classes.get(word)
+class Grammar:
+    """The lexical transducer and the composed machine; what each word and each run of symbols gives is worked out once."""
+
+    def __init__(self, words: dict[str, float], stems: dict[str, float], limit: int = 200_000):
+        self.lexicon, self.machine, self.limit = Lexicon(words, stems), machine(), limit
+        self.symbols: dict[str, tuple[int, float]] = {}
+        self.known: dict[tuple, list[float]] = {}
+
+    def symbol(self, word: str) -> tuple[int, float]:
+        got = self.symbols.get(word)
         if got is None:
             w = word.lower()
             weight = self.lexicon.weight(w)
-            kind = INSULT if weight > 0 else THREAT if w in THREATS else TARGET if w in TARGETS else NOT if w in NEGATIONS else SAID if w in REPORTS else OTHER
-            if len(self.classes) >= self.limit:
-                self.classes = {}
-            got = self.classes[word] = (kind, weight)
+            kind = END if w[0] in ".!?;\n" else INSULT if weight > 0 else THREAT if w in THREATS else TARGET if w in TARGETS else NOT if w in NEGATIONS else SAID if w in REPORTS else OTHER
+            if len(self.symbols) >= self.limit:
+                self.symbols.clear()
+            got = self.symbols[word] = (kind, weight if kind == INSULT else 1.0)
         return got
 
-    def clauses(self, words: list[str]) -> list[tuple[float, list[int]]]:
-        """(weight, kinds matched) of every clause with a match; kinds: 0 full, 1 with target, 2 negated or reported, 3 threat."""
-        out: list[tuple[float, list[int]]] = []
-        found = [self.classify(w) for w in words]
-        hits = [k for k, (kind, _) in enumerate(found) if kind <= THREAT]
-        clause = -1
-        for k in hits:
-            # the nearest clause boundaries bound the reach
-            lo = k
-            while lo > 0 and k - lo < REACH and words[lo - 1][0] not in ".!?;\n":
-                lo -= 1
-            hi = k + 1
-            while hi < len(words) and hi - k <= REACH and words[hi][0] not in ".!?;\n":
-                hi += 1
-            before = {found[j][0] for j in range(lo, k)}
-            near = before | {found[j][0] for j in range(k + 1, hi)}
-            kind, weight = found[k]
-            if kind == INSULT:
-                weight *= self.WITH_TARGET if TARGET in near else self.FULL
-                match = 1 if TARGET in near else 0
-            else:
-                weight = self.THREAT_TARGET if TARGET in near else self.THREAT_ALONE
-                match = 3
-            if NOT in before:
-                weight, match = weight * self.NEGATED, 2
-            elif SAID in before:
-                weight, match = weight * self.REPORTED, 2
-            begin = k
-            while begin > max(clause, 0) and words[begin - 1][0] not in ".!?;\n":
-                begin -= 1
-            if out and begin <= clause:
-                out[-1] = (out[-1][0] + weight, [*out[-1][1], match])
-            else:
-                out.append((weight, [match]))
-            clause = k
+    def paths(self, clause: Iterable[tuple[int, float]]) -> list[float]:
+        """For each kind, the sum of the weights of the paths that accept a clause (symbol, weight) by a match of it."""
+        now = {0: 1.0}
+        for symbol, weight in clause:
+            after: dict[int, float] = {}
+            for state, sum_ in now.items():
+                for nxt, out, factor in self.machine.arcs[state].get(symbol, ()):
+                    after[nxt] = after.get(nxt, 0.0) + sum_ * factor * (weight if out == HIT else 1.0)
+            now = after
+        out = [0.0] * (len(KINDS) - 1)
+        for state, sum_ in now.items():
+            if state in self.machine.accepting:
+                out[self.machine.accepting[state]] += sum_
         return out
 
+    def clause(self, symbols: list[tuple[int, float]]) -> list[float]:
+        """paths() of a clause, once for each that differs within reach of its matches."""
+        hits = [k for k, s in enumerate(symbols) if s[0] <= THREAT]
+        key = tuple(symbols[max(0, hits[0] - REACH) : hits[-1] + REACH + 1])
+        got = self.known.get(key)
+        if got is None:
+            if len(self.known) >= self.limit:
+                self.known.clear()
+            got = self.known[key] = self.paths(key)
+        return got
+
+    def clauses(self, text: str | None) -> tuple[list[list[float]], int, int]:
+        """What each clause with a match sums to, the number of all clauses, and of words."""
+        words, get = WORD.findall(text or ""), self.symbols.get
+        found = [get(w) or self.symbol(w) for w in words]
+        ends = [k for k, s in enumerate(found) if s[0] == END]
+        hits = [k for k, s in enumerate(found) if s[0] <= THREAT]
+        out, done = [], -1
+        for k in hits:
+            if k > done:
+                at = bisect.bisect_left(ends, k)
+                begin, done = ends[at - 1] + 1 if at else 0, ends[at] if at < len(ends) else len(found)
+                out.append(self.clause(found[begin:done]))
+        return [c for c in out if any(c)], len(ends) + 1, len(found) - len(ends)
+
     def features(self, text: str | None) -> list[float]:
-        words = WORD.findall(text or "")
-        found = self.clauses(words)
-        insults = {w for w in set(words) if self.classify(w)[0] == INSULT} if found else ()
-        kinds = [m for _, ms in found for m in ms]
-        weight = sum(w for w, _ in found)
-        return [math.log1p(weight), math.log1p(len(found)), *(math.log1p(kinds.count(k)) for k in range(4)), math.log1p(len(insults)), math.log1p(len(words)) / 4, math.log1p(DENSITY * weight / (len(words) + 20))]
+        found, clauses, words = self.clauses(text)
+        sums = [sum(c[k] for c in found) for k in range(len(KINDS) - 1)]
+        total = sum(sums)
+        return [*map(math.log1p, sums), math.log1p(total), math.log1p(len(found)), math.log1p(10 * total / (clauses + 2)), math.log1p(DENSITY * total / (words + 20))]
 
 
 def _entries(text: str) -> list[str]:
@@ -154,7 +275,7 @@ def _entries(text: str) -> list[str]:
 
 
 def learn_lexicon(labelled: DataFrame, n_toxic: int, n_other: int, text_col: str = "text") -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems that mark toxic documents, with weights; at most LEXICON entries come to the driver.
+    """Words and stems that mark toxic documents, with weights.
 
     labelled: (label, text), exact copies removed.
     """
@@ -181,12 +302,15 @@ def learn_lexicon(labelled: DataFrame, n_toxic: int, n_other: int, text_col: str
         .filter((F.col("toxic") >= least) & (sigma >= MIN_SIGMA))
         .select("entry", "toxic", odds.alias("odds"))
         .filter(F.col("odds") >= MIN_RATIO)
-        .orderBy(F.col("toxic").desc(), "entry")
-        .limit(LEXICON)
         .collect()
     )
+    return weigh({e: o for e, _, o in rows})
+
+
+def weigh(odds: dict[str, float]) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and stems with weights, from the odds of entries."""
     words, stems = {}, {}
-    for e, _, o in rows:
+    for e, o in sorted(odds.items()):
         weight = math.log(o) / math.log(MIN_RATIO)
         if e.endswith("*"):
             stems[e[:-1]] = weight
@@ -258,10 +382,5 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", bound: int = SAMPLE) -> DataFrame:
     """id and score of every row of docs; learned from the labels whose id meets train (a condition on the id column)."""
-    rows = rt.only(labels, id_col, label_col).dropna()
-    if train is not None:
-        rows = rows.filter(train)
-    one = rows.groupBy(id_col).agg(F.round(F.avg(label_col)).cast("int").alias("label"))
-    chosen = sample(one.withColumn("__all", F.lit(0)), "__all", bound, id_col).select(id_col, "label")
-    model = learn(rt.only(docs, id_col, text_col).join(F.broadcast(chosen), id_col), text_col)
+    model = learn(training_rows(docs, labels, label_col, train, id_col, text_col, bound))
     return score(docs, model, id_col, text_col)
