@@ -9,28 +9,17 @@ import duckdb
 import pyarrow as pa
 import pytest
 
-import corpus_pipeline
 from dagstore.llm import queries as llm
 from dagstore.llm.runtime import slices
+from tests.llm import tables
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-
-
-def edge_rows():
-    base = " ".join(f"word{i}" for i in range(60))
-    texts = [None, "", " ", "one two", "one two", base, base + " tail", "x" * 200_000, "été \U0001f600 中文", "\x00nul", "password = hunter2secret", "AKIA" + "A" * 20 + " " + "0123456789abcdef" * 3, "a " * 30_000]
-    return [(i, t, None if i % 3 else "en", None, None if t is None else len(t)) for i, t in enumerate(texts)] + [(5, base, "en", "s", 1)]
 
 
 @pytest.fixture(scope="module")
 def edges(spark, sf_dir, tmp_path_factory):
-    where = tmp_path_factory.mktemp("edges")
-    spark.createDataFrame(edge_rows(), SCHEMA).write.parquet(f"{where}/documents.parquet")
-    for name in ("benchmark", "labels", "pages", "conversations"):
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"{where}/{name}.parquet")
-    return str(where)
+    return tables.write(spark, sf_dir, tmp_path_factory.mktemp("edges"))
 
 
 @pytest.fixture(scope="module")
@@ -63,9 +52,9 @@ def words(text):
 
 
 def test_op2(spark, where):
-    items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{where}/benchmark.parquet").collect()}
+    items = [(r.item_id, words(r.text)) for r in spark.read.parquet(f"{where}/benchmark.parquet").collect() if r.item_id is not None]
     windows = {}
-    for i, w in items.items():
+    for i, w in items:
         for k in range(max(1, len(w) - 7) if w else 0):
             windows.setdefault(tuple(w[k : k + 8]), set()).add(i)
     lengths = sorted({len(w) for w in windows})
@@ -80,29 +69,30 @@ def test_op2(spark, where):
         digest = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
         expected.append((doc_id, len(w), len(hit), len(found), digest, len(found) >= 2))
     got = llm.op2_benchmark_decontamination(spark, where).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    assert sorted(set(map(tuple, got.collect()))) == sorted(set(expected))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(expected, key=repr)
 
 
 def test_op3(spark, where):
-    docs = {}
+    rows = []
     for doc_id, text in documents(spark, where):
         w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
-        docs[doc_id] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-    up = {i: i for i in docs}
+        rows.append((doc_id, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()))
+    up = {i: i for i, _ in rows if i is not None}
 
     def root(i):
         while up[i] != i:
             i = up[i]
         return i
 
-    for a, b in itertools.combinations(sorted(docs), 2):
-        x, y = docs[a], docs[b]
-        if x and y and 100 * len(x & y) >= 75 * len(x | y):
+    known = [(i, s) for i, s in rows if i is not None and s]
+    for (a, x), (b, y) in itertools.combinations(known, 2):
+        if 100 * len(x & y) >= 75 * len(x | y):
             ra, rb = root(a), root(b)
             up[max(ra, rb)] = min(ra, rb)
-    expected = {(i, len(s), root(i), root(i) == i) for i, s in docs.items()}
+    of = lambda s: next((root(i) for i, x in known if x == s), None)
+    expected = [(i, len(s), c := root(i) if i is not None else of(s), c is None or i == c) for i, s in rows]
     got = llm.op3_minhash_near_dedup(spark, where).select("doc_id", "n_shingles", "component_id", "kept")
-    assert {tuple(r) for r in got.collect()} == expected
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(expected, key=repr)
 
 
 def test_op4(spark, where):
@@ -129,7 +119,7 @@ def test_op4(spark, where):
             at += length
         assert at <= 4096
     total = sum(x[1] for v in pieces.values() for x in v)
-    assert len(bins) <= 1.05 * -(-total // 4096) + 1
+    assert len(bins) <= 1.01 * -(-total // 4096) + 1
 
 
 def test_op5(spark, where):
@@ -186,19 +176,12 @@ def test_op10_on_held_out(spark):
 
 @pytest.mark.parametrize("name", sorted(llm.QUERIES))
 def test_edges_and_empty(name, spark, edges, empty):
-    n = spark.read.parquet(f"{edges}/documents.parquet").count()
-    found = llm.QUERIES[name](spark, edges).collect()
-    if name not in ("op1_tool_call_linking", "op4_best_fit_packing", "op9_html_extraction", "op3_minhash_near_dedup"):
-        assert len(found) == n
+    """One row per row, whatever the row holds (op1: per identifier, op4: per piece)."""
+    found = llm.QUERIES[name](spark, edges)
+    if name not in ("op1_tool_call_linking", "op4_best_fit_packing"):
+        of, key = ("pages", "page_id") if name == "op9_html_extraction" else ("documents", "doc_id")
+        ids = [r[0] for r in spark.read.parquet(f"{edges}/{of}.parquet").select(key).collect()]
+        assert sorted((r[0] for r in found.select(key).collect()), key=repr) == sorted(ids, key=repr)
+    else:
+        assert found.collect()
     assert llm.QUERIES[name](spark, empty).collect() == []
-
-
-def test_pipeline(spark, sf_dir, edges, empty):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf_dir)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    kept = {r.doc_id for r in docs.select("doc_id").collect()}
-    assert {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").collect()} == kept
-    corpus_pipeline.run(spark, edges).collect()
-    assert corpus_pipeline.run(spark, empty).collect() == []
