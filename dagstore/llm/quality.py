@@ -71,7 +71,7 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     chars = np.bincount(passage, minlength=total).astype(float)
     x = np.zeros((total, FEATURES))
     x[:, :CLASSES] = np.bincount(passage * CLASSES + cls, minlength=total * CLASSES).reshape(total, CLASSES) / np.maximum(1, chars)[:, None]
-    pair = passage[1:] * CLASSES * CLASSES + cls[:-1] * CLASSES + cls[1:]
+    pair = (passage[1:] * CLASSES * CLASSES + cls[:-1] * CLASSES + cls[1:])[doc_of_byte[1:] == doc_of_byte[:-1]]
     x[:, CLASSES : CLASSES + CLASSES**2] = np.bincount(pair, minlength=total * CLASSES**2).reshape(total, -1) / np.maximum(1, chars)[:, None]
     if len(at):
         letter = (data | np.where(cls == 2, 32, 0)).astype(np.uint64)

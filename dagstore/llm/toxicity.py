@@ -6,12 +6,13 @@ longest entry decides) rewrites insulting words to INSULT with their weight; clo
 (a person), NOT and SAID, any other word OTHER.  Four weighted transducers over these symbols are composed into one
 machine, state by state and arc by arc:
 
-* **negation** rewrites a match within REACH symbols after NOT to a negated one, with the weight NEGATED;
-* **reported speech** rewrites a match within REACH after SAID to a reported one, with the weight REPORTED;
-* **target** rewrites a match with a TARGET within REACH before or after it to an aimed one, with the weight AIMED.  It
-  is nondeterministic, guessing what comes after the match, and only the path that guessed right is accepted;
-* **pattern** accepts a clause by one of its matches, of any kind but the kind ``bare threat`` of no weight (threatening
-  words have other uses), so a clause has one accepted path per match.
+* **negation** rewrites a match within REACH symbols after NOT to a negated one;
+* **reported speech** rewrites any other match within REACH after SAID to a reported one;
+* **target** rewrites a match with a TARGET within REACH before or after it to an aimed one.  It is nondeterministic,
+  guessing what comes after the match, and only the path that guessed right is accepted;
+* **pattern** accepts a clause by one of its matches, with the weights NEGATED, REPORTED and AIMED as it was rewritten.
+  Threats that nobody is the target of, or that are denied or told, are passed over: such words have other uses.  So a
+  clause has one accepted path per match.
 
 A clause scores, for every kind of match, the sum over accepted paths of the product of their weights (the real
 semiring).  What a document is scored by are these sums over its matched clauses, how many clauses match, and their
@@ -68,7 +69,7 @@ HIT = -1  # written for the match that accepts a clause
 KINDS = ("bare insult", "aimed insult", "turned insult", "aimed threat", "bare threat")
 FEATURES = len(KINDS) - 1 + 4
 
-Symbol = int | tuple[int, bool, bool]  # a match: (INSULT or THREAT, aimed, turned)
+Symbol = int | tuple[int, bool, int]  # a match: INSULT or THREAT, aimed, and what turned it: NOT, SAID or 0
 Arc = tuple[int, Symbol, float]  # next state, output, weight
 
 
@@ -98,16 +99,17 @@ class Transducer:
         return Transducer(arcs, accepting)
 
 
-def _marker(trigger: int, factor: float) -> Transducer:
-    """Rewrites matches within REACH symbols after the trigger to turned ones, with the factor; state k: k symbols of reach left."""
+def _marker(trigger: int) -> Transducer:
+    """Rewrites matches within REACH symbols after the trigger to ones it turned; state k: k symbols of reach left."""
     arcs: list[dict[Symbol, list[Arc]]] = []
     for left in range(REACH + 1):
         after = max(0, left - 1)
         own: dict[Symbol, list[Arc]] = {s: [(REACH if s == trigger else after, s, 1.0)] for s in (TARGET, NOT, SAID, OTHER)}
         for word in (INSULT, THREAT):
-            plain, turned = (word, False, False), (word, False, True)
-            own[word] = own[plain] = [(after, turned, factor) if left else (after, plain, 1.0)]
-            own[turned] = [(after, turned, 1.0)]  # a match is turned once
+            plain, turned = (word, False, 0), (word, False, trigger)
+            own[word] = own[plain] = [(after, turned if left else plain, 1.0)]
+            if trigger != NOT:  # read after negation: a match is turned once
+                own[word, False, NOT] = [(after, (word, False, NOT), 1.0)]
         arcs.append(own)
     return Transducer(arcs, dict.fromkeys(range(REACH + 1)))
 
@@ -129,18 +131,18 @@ def _target() -> Transducer:
             for s in (NOT, SAID, OTHER):
                 own[s] = [(number[down(before), down(expect), down(forbid)], s, 1.0)]
             for word in (INSULT, THREAT):
-                for turned in (False, True):
+                for turned in (0, NOT, SAID):
                     aimed, bare = (word, True, turned), (word, False, turned)
                     if before:
-                        own[bare] = [(number[down(before), down(expect), down(forbid)], aimed, AIMED)]
+                        own[bare] = [(number[down(before), down(expect), down(forbid)], aimed, 1.0)]
                     else:
-                        own[bare] = [(number[0, min(REACH, down(expect) or REACH), down(forbid)], aimed, AIMED)]
+                        own[bare] = [(number[0, min(REACH, down(expect) or REACH), down(forbid)], aimed, 1.0)]
                         own[bare].append((number[0, down(expect), REACH], bare, 1.0))
         arcs.append(own)
     return Transducer(arcs, {number[s]: None for s in states if not s[1]})
 
 
-def kind_of(match: tuple[int, bool, bool]) -> int:
+def kind_of(match: tuple[int, bool, int]) -> int:
     word, aimed, turned = match
     if word == INSULT:
         return 2 if turned else 1 if aimed else 0
@@ -149,13 +151,13 @@ def kind_of(match: tuple[int, bool, bool]) -> int:
 
 def _pattern() -> Transducer:
     """Accepts by one match: state 0 has none yet, state 1 + k one of kind k; matches that are passed over cost nothing."""
-    every = [(w, a, t) for w in (INSULT, THREAT) for a in (False, True) for t in (False, True)]
+    every = [(w, a, t) for w in (INSULT, THREAT) for a in (False, True) for t in (0, NOT, SAID)]
     arcs: list[dict[Symbol, list[Arc]]] = []
     for state in range(len(KINDS)):
         own: dict[Symbol, list[Arc]] = {s: [(state, s, 1.0)] for s in (TARGET, NOT, SAID, OTHER, *every)}
         for m in every if state == 0 else ():
             if kind_of(m) < len(KINDS) - 1:
-                own[m].append((1 + kind_of(m), HIT, 1.0))
+                own[m].append((1 + kind_of(m), HIT, (AIMED if m[1] else 1.0) * {NOT: NEGATED, SAID: REPORTED}.get(m[2], 1.0)))
         arcs.append(own)
     return Transducer(arcs, {1 + k: k for k in range(len(KINDS) - 1)})
 
@@ -192,7 +194,7 @@ _machine: list[Transducer] = []
 
 def machine() -> Transducer:
     if not _machine:
-        _machine.append(_marker(NOT, NEGATED).then(_marker(SAID, REPORTED)).then(_target()).then(_pattern()))
+        _machine.append(_marker(NOT).then(_marker(SAID)).then(_target()).then(_pattern()))
     return _machine[0]
 
 
