@@ -20,7 +20,7 @@ def roots(refs: DataFrame, leases: DataFrame, now_ms: int, prepared: DataFrame |
 
 def mark(edges: DataFrame, root_ids: DataFrame, bases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Reachable ids (missing roots count), and those to keep: closed under delta bases too."""
-    reached = graph.reachable(edges, root_ids)
+    reached = graph.reachable(edges, root_ids)  # written tables: reading them again walks nothing again
     return reached, reached if bases is None else graph.with_delta_bases(reached, bases)
 
 

@@ -65,41 +65,57 @@ def ordered_fold(df: DataFrame, key: str, order: str, start: Callable[[], Any],
 
 
 class Slot:
-    """A pointer's committed value (version 0: none yet) and the target staged under a lock."""
+    """A pointer's committed value, and the transaction and target staged under a lock.
 
-    __slots__ = ("target", "version", "staged")
+    Version 0 with a lock is a placeholder: the pointer was never created, and first is the target that its first
+    prepare named.  Version 0 without one is no slot at all.
+    """
+
+    __slots__ = ("target", "version", "txn", "staged", "first")
 
     def __init__(self) -> None:
-        self.target, self.version, self.staged = None, 0, None
+        self.target = self.txn = self.staged = self.first = None
+        self.version = 0
 
 
 def cas_step(replicated: bool) -> Callable[[Slot, tuple], tuple[Slot, tuple]]:
-    """One operation (kind, target, expected) on a slot; the last three columns of the log.
+    """One operation (kind, txn, target, expected) on a slot; the last four columns of the log.
 
-    put and delete compare and swap; prepare votes and locks, commit and abort settle the lock.  A single node answers
-    conflict while a lock is held.  Replicated puts and deletes don't look at locks, take a slot that is locked but was
-    never created for existing with the staged target, and drop the lock with what they overwrite.
+    put and delete compare and swap.  prepare votes: no if another transaction holds the lock or the committed value is
+    not the expected one, else it locks (its own transaction may prepare again).  commit and abort settle a lock of
+    their own transaction and leave any other alone; a commit that finds no slot is answered like an abort, and the
+    abort of a placeholder removes it.  A single node answers puts and deletes with conflict while a lock is held.
+    Replicated ones don't look at locks, take a placeholder for existing, and drop the lock with what they overwrite.
     """
 
     def step(slot: Slot, row: tuple) -> tuple[Slot, tuple]:
-        kind, target, expected = row[-3:]
-        locked = slot.staged is not None
+        kind, txn, target, expected = row[-4:]
+        locked = slot.txn is not None
         if kind == "prepare":
             holds = slot.version == 0 if expected is None else slot.version > 0 and slot.target == expected
-            if locked or not holds:
+            if not holds or (locked and slot.txn != txn):
                 return slot, ("no", slot.version)
-            slot.staged = target
+            if slot.version == 0 and not locked:
+                slot.first = target
+            slot.txn, slot.staged = txn, target
             return slot, ("yes", slot.version)
         if kind in ("commit", "abort"):
-            if locked and kind == "commit":
+            own = locked and slot.txn == txn
+            if kind == "abort":
+                if own:
+                    slot.txn = slot.staged = slot.first = None
+                return slot, ("aborted", slot.version)
+            if not locked and slot.version == 0:
+                return slot, ("aborted", 0)
+            if own:
                 slot.target, slot.version = slot.staged, slot.version + 1
-            slot.staged = None
+                slot.txn = slot.staged = slot.first = None
             return slot, ("ok", slot.version)
         there, current = slot.version > 0, slot.target
         if locked and not replicated:
             return slot, ("conflict", slot.version)
         if locked and not there:
-            there, current = True, slot.staged
+            there, current = True, slot.first
         if kind == "delete":
             if not there:
                 return slot, ("notfound", 0)
@@ -110,15 +126,17 @@ def cas_step(replicated: bool) -> Callable[[Slot, tuple], tuple[Slot, tuple]]:
             return slot, ("conflict", slot.version)
         if not there and expected is not None:
             return slot, ("notfound", 0)
-        slot.target, slot.version, slot.staged = target, slot.version + 1, None
+        version = slot.version + 1
+        slot = Slot()
+        slot.target, slot.version = target, version
         return slot, ("ok", slot.version)
 
     return step
 
 
 def cas_fold(log: DataFrame, replicated: bool = False) -> DataFrame:
-    """name, offset, outcome and the version after it, of every operation (name, offset, kind, target, expected)."""
-    return ordered_fold(log.select("name", "offset", "kind", "target", "expected"), "name", "offset", Slot, cas_step(replicated), "name string, offset bigint, outcome string, version bigint")
+    """name, offset, outcome and the version after it, of every operation (name, offset, kind, txn, target, expected)."""
+    return ordered_fold(log.select("name", "offset", "kind", "txn", "target", "expected"), "name", "offset", Slot, cas_step(replicated), "name string, offset bigint, outcome string, version bigint")
 
 
 def atomic_batches(batch: DataFrame, refs: DataFrame, locked: DataFrame | None = None) -> DataFrame:
@@ -181,6 +199,54 @@ def coordinate(ops: DataFrame) -> DataFrame:
     )
 
 
+def two_phase(ops: DataFrame, refs: DataFrame, locked: DataFrame | None = None) -> DataFrame:
+    """What two-phase commits of independent transactions do: ops (txn, shard, name, target, expected) against refs (name, target, version).
+
+    Per operation: vote (null where an earlier no stopped the prepares, which go by shard and name), decision, and outcome
+    (committed, released, or untouched) with the pointer's version afterwards.  locked: names that others hold.
+    """
+    from pyspark.sql import Window
+
+    now = refs.select("name", F.col("target").alias("current"), F.col("version").alias("before"))
+    j = ops.join(now, "name", "left")
+    held = F.lit(False)
+    if locked is not None:
+        j = j.join(locked.select("name", F.lit(True).alias("held")).distinct(), "name", "left")
+        held = F.coalesce("held", F.lit(False))
+    holds = F.when(F.col("expected").isNull(), F.col("current").isNull()).otherwise(F.coalesce(F.col("current") == F.col("expected"), F.lit(False)))
+    w = Window.partitionBy("txn").orderBy("shard", "name")
+    j = j.withColumn("would", ~held & holds).withColumn("stopped", F.coalesce(F.bool_or(~F.col("would")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
+    j = j.withColumn("all_yes", F.bool_and("would").over(Window.partitionBy("txn")))
+    outcome = F.when(F.col("all_yes"), "committed").when(F.col("would") & ~F.col("stopped"), "released").otherwise("untouched")
+    version = F.coalesce("before", F.lit(0)) + F.when(F.col("all_yes"), 1).otherwise(0)
+    return j.select("txn", "shard", "name", F.when(~F.col("stopped"), F.col("would")).alias("vote"), F.when(F.col("all_yes"), "Commit").otherwise("Abort").alias("decision"), outcome.alias("outcome"), version.cast("long").alias("version"))
+
+
+def snapshot(log: DataFrame, key: str) -> DataFrame:
+    """All live entries as one table: what a snapshot is built of, and what installing it replaces everything by."""
+    return latest_per_key(since_checkpoint(log).filter("kind <> 'checkpoint'"), key)
+
+
+def install(log: DataFrame, state: DataFrame, at: int) -> DataFrame:
+    """The log after a snapshot of the state at an offset is installed: the state's entries, then what came later."""
+    return state.withColumn("offset", F.lit(at).cast("bigint")).unionByName(log.filter(F.col("offset") > at))
+
+
+def hlc_ticks(ticks: DataFrame) -> DataFrame:
+    """node, offset and hlc of every tick (node, offset, wall_ms): the wall clock's, or one more than the last if that is not above it.
+
+    In closed form: the greatest over the node's ticks so far of the wall's value less its place, plus the place.
+    """
+    from pyspark.sql import Window
+
+    from dagstore.functions.hashing import hlc_of_ms
+
+    w = Window.partitionBy("node").orderBy("offset")
+    placed = ticks.withColumn("place", F.row_number().over(w))
+    ahead = F.max(hlc_of_ms(F.col("wall_ms")) - F.col("place")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return placed.select("node", "offset", (ahead + F.col("place")).alias("hlc"))
+
+
 def token_bucket(requests: DataFrame, rate: float | None, burst: float | None = None) -> DataFrame:
     """tenant, offset, allowed and tokens left of every request (tenant, offset, at_us), in order of offset.
 

@@ -31,7 +31,7 @@ SQL = {
         UNION ALL SELECT id, blob, 'tree' FROM turns""",
     "store": """SELECT id, 1 AS git_type, CAST(100 + turn AS BIGINT) AS size, 1700000000 + conv_id * 3600 AS mtime_s, (conv_id + turn) % 5 <> 0 AS loose FROM turns
         UNION ALL SELECT blob, 3, min(octet_length(encode(text))), min(1700000000 + conv_id * 3600), bool_or(turn % 4 <> 3) FROM turns GROUP BY blob
-        UNION ALL SELECT 'd:' || doc_id, 3, octet_length(encode(text)), 1706500000 + doc_id * 100, doc_id % 4 <> 0 FROM documents WHERE doc_id % 10 = 0 AND text IS NOT NULL""",
+        UNION ALL SELECT 'd:' || doc_id, 3, octet_length(encode(text)), 1706500000 + doc_id * 100, doc_id % 4 <> 0 FROM documents WHERE text IS NOT NULL""",
     "bases": "SELECT id, CASE WHEN turn % 3 <> 0 THEN 'm:' || conv_id || ':' || (turn - 1) END AS base FROM turns",
     "refs": """SELECT CASE WHEN conv_id % 4 = 0 THEN 'refs/heads/c' || conv_id ELSE 'refs/tenants/t' || (conv_id % 3) || '/heads/c' || conv_id END AS name,
         'm:' || conv_id || ':' || max(turn) AS target, max(turn) + 1 AS version FROM turns WHERE conv_id % 2 = 0 GROUP BY conv_id
@@ -46,7 +46,7 @@ SQL = {
         JOIN lease_log p ON p.id = l.id AND p.\"offset\" = x.last AND p.kind = 'put' GROUP BY l.id""",
     "ref_log": """SELECT 'refs/heads/u' || user_id AS name, event_id AS \"offset\",
         CASE event_type WHEN 'signup' THEN 'put' WHEN 'purchase' THEN 'put' WHEN 'error' THEN 'delete' WHEN 'click' THEN 'prepare' WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'commit' ELSE 'abort' END END AS kind,
-        't' || event_id AS target,
+        'x' || (event_id // 64 % 3) AS txn, 't' || event_id AS target,
         CASE WHEN event_type = 'signup' THEN NULL ELSE 't' || max(CASE WHEN event_type IN ('signup', 'purchase') THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS expected
         FROM events""",
     "txn_log": """SELECT event_id // 8 AS txn, event_id AS \"offset\", user_id, ts,
@@ -111,7 +111,7 @@ def store(spark: SparkSession, d: str) -> DataFrame:
     commits = t.select("id", F.lit(1).alias("git_type"), (F.lit(100) + F.col("turn")).cast("long").alias("size"), born.alias("mtime_s"), ((F.col("conv_id") + F.col("turn")) % 5 != 0).alias("loose"))
     blobs = t.groupBy("blob").agg(F.min(F.octet_length("text")).cast("long").alias("size"), F.min(born).alias("mtime_s"), F.bool_or(F.col("turn") % 4 != 3).alias("loose"))
     blobs = blobs.select(F.col("blob").alias("id"), F.lit(3).alias("git_type"), "size", "mtime_s", "loose")
-    lost = docs.filter("doc_id % 10 = 0 and text is not null").select(F.concat(F.lit("d:"), F.col("doc_id").cast("string")).alias("id"), F.lit(3).alias("git_type"), F.octet_length("text").cast("long").alias("size"), (F.lit(1_706_500_000) + F.col("doc_id") * 100).alias("mtime_s"), (F.col("doc_id") % 4 != 0).alias("loose"))
+    lost = docs.filter("text is not null").select(F.concat(F.lit("d:"), F.col("doc_id").cast("string")).alias("id"), F.lit(3).alias("git_type"), F.octet_length("text").cast("long").alias("size"), (F.lit(1_706_500_000) + F.col("doc_id") * 100).alias("mtime_s"), (F.col("doc_id") % 4 != 0).alias("loose"))
     return commits.unionByName(blobs).unionByName(lost)
 
 
@@ -162,6 +162,7 @@ def ref_log(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("refs/heads/u"), F.col("user_id")).alias("name"),
         F.col("event_id").alias("offset"),
         kind.alias("kind"),
+        F.concat(F.lit("x"), F.floor(F.col("event_id") / 64) % 3).alias("txn"),
         F.concat(F.lit("t"), F.col("event_id")).alias("target"),
         F.when(t != "signup", F.concat(F.lit("t"), last)).alias("expected"),
     )

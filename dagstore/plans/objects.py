@@ -48,9 +48,9 @@ def new_objects(spark, d):
     return storage.new_objects(t.select("id"), t.filter("doc_id % 2 = 0").select("id"))
 
 
-@query("missing_objects", "SELECT DISTINCT l_orderkey % 20000 AS id FROM lineitem WHERE l_orderkey % 20000 NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0)")
+@query("missing_objects", "SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0)")
 def missing_objects(spark, d):
-    referenced = table(spark, d, "lineitem").select((F.col("l_orderkey") % 20000).alias("id"))
+    referenced = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"))
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
     return fetch.disconnected(referenced, orders.filter("id % 3 = 1"), orders.filter("id % 3 = 2"))
 
@@ -422,11 +422,11 @@ def export_branches(spark, d):
 # packs
 
 NAME_HASH = "list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(1, length(source) + 1), lambda i: CAST(ascii(substr(source, i, 1)) AS BIGINT))), lambda h, c: ((h >> 2) + (c << 24)) & 4294967295)"
-RANKED = f"SELECT doc_id AS id, l AS git_type, h AS name_hash, n_chars AS size, row_number() OVER (PARTITION BY l ORDER BY h, n_chars DESC, doc_id) AS rank FROM (SELECT doc_id, lang AS l, n_chars, {NAME_HASH} AS h FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL)"
+RANKED = f"SELECT doc_id AS id, l AS git_type, h AS name_hash, n_chars AS size, row_number() OVER (PARTITION BY l ORDER BY h, n_chars DESC, doc_id) AS rank FROM (SELECT doc_id, coalesce(lang, '') AS l, n_chars, {NAME_HASH} AS h FROM (SELECT * REPLACE (coalesce(source, '') AS source) FROM documents))"
 
 
 def ranked(spark, d):
-    docs = table(spark, d, "documents").filter("lang is not null and source is not null")
+    docs = table(spark, d, "documents").withColumns({c: F.coalesce(c, F.lit("")) for c in ("lang", "source")})
     return pack.numbered(docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("git_type"), hashing.name_hash(F.col("source")).alias("name_hash"), F.col("n_chars").alias("size")))
 
 
@@ -435,9 +435,9 @@ def pack_order(spark, d):
     return ranked(spark, d)
 
 
-@query("delta_candidates", f"WITH r AS ({RANKED}) SELECT a.id, count(*) AS n_candidates, max(a.rank - b.rank) AS furthest FROM r a JOIN r b ON a.git_type = b.git_type AND b.rank BETWEEN a.rank - 25 AND a.rank - 1 GROUP BY a.id")
+@query("delta_candidates", f"WITH r AS ({RANKED}) SELECT a.id, count(*) AS n_candidates, max(a.rank - b.rank) AS furthest FROM r a JOIN r b ON a.git_type = b.git_type AND b.rank BETWEEN a.rank - 250 AND a.rank - 1 GROUP BY a.id")
 def delta_candidates(spark, d):
-    return pack.candidates(ranked(spark, d), 25).groupBy("id").agg(F.count(F.lit(1)).alias("n_candidates"), F.max("distance").alias("furthest"))
+    return pack.candidates(ranked(spark, d)).groupBy("id").agg(F.count(F.lit(1)).alias("n_candidates"), F.max("distance").alias("furthest"))
 
 
 @query("pack_fanout", sql("SELECT b.bucket, coalesce(n, 0) AS n, CAST(sum(coalesce(n, 0)) OVER (ORDER BY b.bucket) AS BIGINT) AS running FROM (SELECT CAST(range AS INTEGER) AS bucket FROM range(256)) b LEFT JOIN (SELECT CAST('0x' || substr(sha1, 1, 2) AS INTEGER) AS bucket, count(*) AS n FROM objects GROUP BY 1) USING (bucket)", "objects"))
@@ -453,7 +453,7 @@ def repack_check(spark, d):
 
 @query("delta_selection")
 def delta_selection(spark, d):
-    docs = table(spark, d, "documents").filter("text is not null and lang is not null and source is not null")
+    docs = table(spark, d, "documents").filter("text is not null").withColumns({c: F.coalesce(c, F.lit("")) for c in ("lang", "source")})
     o = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("git_type"), hashing.name_hash(F.col("source")).alias("name_hash"), F.col("n_chars").alias("size"), F.col("text").cast("binary").alias("content"))
     return pack.select_deltas(pack.numbered(o))
 

@@ -60,18 +60,78 @@ def test_token_bucket(spark, sf_dir, duck):
     assert found == expected
 
 
+def by_hand(rows, replicated):
+    """The log operation by operation over a dictionary of slots: name -> [committed (target, version), lock (txn, target) or None]."""
+    slots, out = {}, {}
+    for name, offset, kind, txn, target, expected in rows:
+        slot = slots.get(name)
+        committed = slot[0] if slot else None
+        lock = slot[1] if slot else None
+        real = committed if committed and committed[1] else None
+        if kind == "prepare":
+            fits = (real is None) if expected is None else (real is not None and real[0] == expected)
+            if (lock and lock[0] != txn) or not fits:
+                out[name, offset] = ("no", committed[1] if committed else 0)
+            else:
+                slots[name] = [committed or (target, 0), (txn, target)]
+                out[name, offset] = ("yes", slots[name][0][1])
+        elif kind == "commit":
+            if slot is None:
+                out[name, offset] = ("aborted", 0)
+            else:
+                if lock and lock[0] == txn:
+                    slots[name] = [(lock[1], committed[1] + 1), None]
+                out[name, offset] = ("ok", slots[name][0][1])
+        elif kind == "abort":
+            if lock and lock[0] == txn:
+                if committed[1] == 0:
+                    del slots[name]
+                else:
+                    slots[name] = [committed, None]
+            out[name, offset] = ("aborted", slots[name][0][1] if name in slots else 0)
+        elif lock and not replicated:
+            out[name, offset] = ("conflict", committed[1])
+        elif kind == "delete":
+            if committed is None:
+                out[name, offset] = ("notfound", 0)
+            elif committed[0] != expected:
+                out[name, offset] = ("conflict", committed[1])
+            else:
+                del slots[name]
+                out[name, offset] = ("ok", 0)
+        elif committed is None and expected is not None:
+            out[name, offset] = ("notfound", 0)
+        elif committed is not None and committed[0] != expected:
+            out[name, offset] = ("conflict", committed[1])
+        else:
+            slots[name] = [(target, (committed[1] if committed else 0) + 1), None]
+            out[name, offset] = ("ok", slots[name][0][1])
+    return out
+
+
 @pytest.mark.parametrize("replicated", [False, True])
-def test_cas_outcomes(spark, replicated):
+def test_cas_folds_over_the_whole_log(spark, sf_dir, replicated):
+    from dagstore.plans import fixtures
+
+    log = [tuple(r) for r in fixtures.ref_log(spark, sf_dir).select("name", "offset", "kind", "txn", "target", "expected").collect()]
+    expected = by_hand(sorted(log, key=lambda r: r[1]), replicated)
+    assert {x[0] for x in expected.values()} == {"ok", "conflict", "notfound", "yes", "no", "aborted"}
+    found = catalogue.QUERIES["cas_fold_replicated" if replicated else "cas_fold_single"](spark, sf_dir)
+    assert {(r.name, r.offset): (r.outcome, r.version) for r in found.collect()} == expected
+
+
+def test_cas_random_logs(spark):
+    import random
+
     from dagstore.operators.reflog import cas_fold
 
-    log = [
-        ("a", 1, "put", "x", None), ("a", 2, "put", "y", None), ("a", 3, "put", "y", "x"), ("a", 4, "delete", None, "x"), ("a", 5, "delete", None, "y"),
-        ("a", 6, "delete", None, "y"), ("a", 7, "put", "z", "y"), ("b", 1, "prepare", "p", None), ("b", 2, "prepare", "q", None), ("b", 3, "put", "r", "p"),
-    ]
-    df = spark.createDataFrame(log, "name string, offset bigint, kind string, target string, expected string")
-    found = {(r.name, r.offset): (r.outcome, r.version) for r in cas_fold(df, replicated).collect()}
-    last = ("ok", 1) if replicated else ("conflict", 0)
-    assert [found[k] for k in sorted(found)] == [("ok", 1), ("conflict", 1), ("ok", 2), ("conflict", 2), ("ok", 0), ("notfound", 0), ("notfound", 0), ("yes", 0), ("no", 0), last]
+    r = random.Random(3)
+    pick = lambda: r.choice([None, "a", "b", "c"])
+    log = [(f"n{k % 40}", k, r.choice(["put", "delete", "prepare", "commit", "abort"]), r.choice("xy"), r.choice("abc"), pick()) for k in range(4000)]
+    df = spark.createDataFrame(log, "name string, offset bigint, kind string, txn string, target string, expected string")
+    for replicated in (False, True):
+        found = {(x.name, x.offset): (x.outcome, x.version) for x in cas_fold(df, replicated).collect()}
+        assert found == by_hand(log, replicated)
 
 
 def test_deltas_rebuild(spark, sf_dir):
@@ -79,4 +139,3 @@ def test_deltas_rebuild(spark, sf_dir):
 
     for base, target in [(b"", b""), (b"abc" * 50, b"abc" * 40 + b"x"), (b"q" * 70000, b"q" * 70001), (b"", b"new")]:
         assert apply_delta(base, encode_delta(base, target)) == target
-    assert catalogue.QUERIES["delta_selection"](spark, sf_dir).count() >= 0
