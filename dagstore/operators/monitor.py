@@ -93,23 +93,3 @@ def gauge_difference(samples: DataFrame, a: str, b: str, on: list[str]) -> DataF
     """Last value of gauge a less that of b, by the labels on."""
     last = latest(samples.filter(F.col("name").isin(a, b)), ["name", *on])
     return last.groupBy(*on).agg((F.max(F.when(F.col("name") == a, F.col("value"))) - F.max(F.when(F.col("name") == b, F.col("value")))).alias("difference"))
-
-
-#: The alert rules: kind, what they read, bounds, and how long the condition must hold (seconds).
-RULES = {
-    "instance_down": {"kind": "gauge", "metric": "up", "equals": 0, "for": 120},
-    "git_latency": {"kind": "mean", "metric": "git_request_duration_seconds", "window": 300, "above": 2, "min_rate": 0.05, "for": 600},
-    "object_write_latency": {"kind": "mean", "metric": "object_write_duration_seconds", "window": 300, "above": 0.5, "min_rate": 0.1, "for": 600},
-    "rpc_latency": {"kind": "mean", "metric": "rpc_request_duration_seconds", "window": 300, "above": 1, "min_rate": 0.05, "for": 600},
-    "auth_failures": {"kind": "rate", "metric": "auth_total", "window": 300, "above": 5},
-    "tenant_denied": {"kind": "rate", "metric": "tenant_denied_total", "window": 300, "above": 1},
-    "webhook_failures": {"kind": "ratio", "metric": "webhook_deliveries_total", "window": 600, "above": 0.2},
-    "sync_failing": {"kind": "rate", "metric": "sync_total", "window": 900, "above": 0, "for": 900},
-    "quota_denials": {"kind": "rate", "metric": "quota_denied_total", "window": 600, "above": 0, "by": ["instance", "resource"]},
-    "cas_contention": {"kind": "quotient", "metric": ["ref_cas_conflicts_total", "ref_cas_total"], "window": 300, "above": 0.5},
-    "no_leader": {"kind": "gauge", "metric": "raft_has_leader", "equals": 0, "for": 60},
-    "elections_flapping": {"kind": "changes", "metric": "raft_elections_total", "window": 900, "above": 3},
-    "apply_lag": {"kind": "difference", "metric": ["raft_commit_index", "raft_last_applied"], "above": 1000},
-    "prepared_locks_stuck": {"kind": "gauge", "metric": "prepared_locks", "above": 0, "for": 900},
-    "txn_aborts": {"kind": "rate", "metric": "txn_aborts_total", "window": 600, "above": 1, "by": ["instance"]},
-}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dagstore.plans import objects, state  # noqa: F401
+from dagstore.plans import alerting, objects, sources, state  # noqa: F401
 from dagstore.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

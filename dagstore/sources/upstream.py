@@ -67,7 +67,7 @@ def read_metric_lines(lines: DataFrame) -> DataFrame:
     pattern = r'([a-zA-Z_][a-zA-Z0-9_]*)="((?:[^"\\]|\\.)*)"'
     keys, values = (F.regexp_extract_all(F.regexp_extract(v, r"^[a-zA-Z_:][a-zA-Z0-9_:]*\{(.*)\} [^ }]+$", 1), F.lit(pattern), k) for k in (1, 2))
     plain = F.transform(values, lambda x: F.replace(F.replace(F.replace(F.replace(x, F.lit("\\\\"), F.lit("\0")), F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")), F.lit("\0"), F.lit("\\")))
-    return text.select(F.regexp_extract(v, r"^([a-zA-Z_:][a-zA-Z0-9_:]*)", 1).alias("name"), F.map_from_arrays(keys, plain).alias("labels"), F.substring_index(v, " ", -1).cast("double").alias("value"))
+    return text.select(F.regexp_extract(v, r"^([a-zA-Z_:][a-zA-Z0-9_:]*)", 1).alias("name"), F.map_from_arrays(keys, plain).alias("labels"), F.substring_index(v, " ", -1).try_cast("double").alias("value"))
 
 
 class Tier:
