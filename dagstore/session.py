@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,6 +74,20 @@ def discard(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end every table that materialize() wrote within, but those handed to the function it gives."""
+    before, kept = set(_written), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._dagstore_path)
+        return df
+
+    yield keep
+    for path in [p for p in _written if p not in before and p not in kept]:
+        _delete(spark, path)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Deletes every table that materialize() wrote and that is still there, once the results that read them are written."""
     for path in list(_written):

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 HEADER = struct.Struct("<II")
+HEADER_BYTES = 8
 SCHEMA = "segment string, ordinal bigint, payload binary"
 MANIFEST = "_manifest.json"
 
@@ -226,7 +227,7 @@ def decode_files(files: DataFrame) -> DataFrame:
                 payloads, _ = read_frames(content or b"")
                 ends, at = [], 0
                 for p in payloads:
-                    at += HEADER.size + len(p)
+                    at += HEADER_BYTES + len(p)
                     ends.append(at)
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(payloads), pa.string()), pa.array(range(len(payloads)), pa.int64()), pa.array(payloads, pa.binary()), pa.array(ends, pa.int64())], names=["path", "ordinal", "payload", "end"])
 

@@ -61,7 +61,7 @@ def metric_lines(samples: DataFrame) -> DataFrame:
 
 
 def read_metric_lines(lines: DataFrame) -> DataFrame:
-    """name, labels and value of exposition text (value); comments and blank lines say nothing."""
+    """name, labels and value of exposition text (value); comments and blank lines say nothing, a value that is no number is null."""
     v = F.col("value")
     text = lines.filter(~F.rlike(v, F.lit(r"^\s*(#.*)?$")))
     pattern = r'([a-zA-Z_][a-zA-Z0-9_]*)="((?:[^"\\]|\\.)*)"'
