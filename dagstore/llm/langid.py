@@ -1,12 +1,12 @@
 """Language identification by rank-order n-gram profiles (Cavnar and Trenkle).
 
 A profile is the PROFILE most frequent character n-grams (1 to 3 letters, words padded by blanks) in rank order.  A
-language's profile adds up the counts over a bounded sample of its labelled documents; a document's profile comes from
-its whole text.  The distance to a language is the sum, over the document's n-grams, of how far each is out of place
+language's profile adds up the counts over its labelled documents; a document's profile comes from its whole text.  The distance to a language is the sum, over the document's n-grams, of how far each is out of place
 in the language's profile (PROFILE for one that it lacks); the nearest language is predicted, ties by name.
 
-Training uses at most SAMPLE documents of each language, those with the least hash of their id; the sample is the only
-bounded part, and every text is scored whole.  ``score`` is the nearest language's margin: second distance over the
+``keep_known`` learns profiles and limits from every labelled document.  ``train`` and ``identify`` use at most SAMPLE
+documents of each language, those with the least hash of their id; the sample is the only bounded part, and every text
+is scored whole.  ``score`` is the nearest language's margin: second distance over the
 sum of the two nearest (0.5: no preference; 1: alone or an exact match).
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is everything where nothing was
@@ -30,6 +30,7 @@ PROFILE = 300
 SAMPLE = 3000
 UNKNOWN = "und"
 SIGMAS = 4  # standard deviations above the mean distance of labelled texts from which a text is like no language
+HELD = 1 << 18  # n-grams whose counts a task holds before they go out, whatever alphabets its texts are in
 LEAST = 30  # labelled texts and pieces of a length from which its distances are judged
 PIECES = (1, 2, 4, 8, 16, 32)  # words of the pieces of labelled texts that show how far short texts lie
 _BITS = 18  # all letters of Unicode, numbered, take no more
@@ -166,6 +167,12 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size:
 
     def run(batches):
         sums: dict[str, dict[int, int]] = {}
+
+        def out():
+            for lang, own in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.keys(), pa.int64()), pa.array(own.values(), pa.int64())], names=["lang", "key", "n"])
+            sums.clear()
+
         for b in rt.slices(batches):
             langs = np.array(b.column(0).to_pylist(), object)
             texts = np.array(b.column(1).to_pylist(), object)
@@ -175,8 +182,9 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size:
                 own = sums.setdefault(lang, {})
                 for k, c in zip(keys.tolist(), counts.tolist(), strict=True):
                     own[k] = own.get(k, 0) + c
-        for lang, own in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.keys(), pa.int64()), pa.array(own.values(), pa.int64())], names=["lang", "key", "n"])
+            if sum(map(len, sums.values())) > HELD:
+                yield from out()
+        yield from out()
 
     pairs = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     counts = rt.map_arrow(pairs, run, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
@@ -203,6 +211,16 @@ def _labelled(training: DataFrame, id_col: str, text_col: str, lang_col: str, bo
     return labelled.join(chosen, [id_col, lang_col], "left_semi").groupBy(id_col, lang_col).agg(F.min(text_col).alias(text_col))
 
 
+def _every_labelled(training: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """id, lang and text of all labelled documents; only texts of an id and lang that repeat are shuffled, for the least."""
+    rows = training.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
+    counts = rows.select("id", "lang").dropna().groupBy("id", "lang").agg(F.count(F.lit(1)).alias("n"))
+    many = rt.materialize(counts.filter("n > 1").select("id", "lang"), "repeated")
+    labelled = rows.dropna()
+    again = labelled.join(many, ["id", "lang"], "left_semi").groupBy("id", "lang").agg(F.min("text").alias("text"))
+    return labelled.join(many, ["id", "lang"], "left_anti").unionByName(rt.materialize(again, "least"))
+
+
 def limits(docs: DataFrame, profiles: dict[str, list[int]], max_distance: float, text_col: str = "text") -> Limits:
     """From the distances of docs' texts and of pieces from their middle; a few sums a size come to the driver."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
@@ -230,9 +248,9 @@ def keep_known(docs: DataFrame, training: DataFrame, max_distance: float, id_col
 
     What is too far is told by Limits; max_distance (0 to 1) is too far for any text.
     """
-    labelled = _labelled(training, id_col, text_col, lang_col, SAMPLE)
-    profiles = learn(labelled, lang_col, text_col)
-    limit = limits(labelled, profiles, max_distance, text_col)
+    labelled = _every_labelled(training, id_col, text_col, lang_col)
+    profiles = learn(labelled)
+    limit = limits(labelled, profiles, max_distance)
     shared = docs.sparkSession.sparkContext.broadcast((profiles, limit))
 
     def keep():
