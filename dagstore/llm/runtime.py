@@ -12,20 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from dagstore.session import discard, materialize, shared_dir
+from dagstore.session import discard, materialize, shared_dir, small_batches
 
 __all__ = ["discard", "materialize", "shared_dir"]
 
-#: Rows in an Arrow batch handed to Python; bounds a worker's memory with whole texts in a batch.
-ARROW_ROWS = 512
 #: Rows decoded to Python objects at once.
 SLICE_ROWS = 128
 #: Bytes decoded at once, unless one row has more: words and ids of a slice take many times its bytes.
 SLICE_BYTES = 1 << 20
 
-#: Bytes of an Arrow batch, where Spark knows the setting.
-ARROW_BYTES = 4 << 20
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -64,8 +59,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
         finally:
             _return_memory()
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
