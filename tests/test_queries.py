@@ -139,3 +139,14 @@ def test_deltas_rebuild(spark, sf_dir):
 
     for base, target in [(b"", b""), (b"abc" * 50, b"abc" * 40 + b"x"), (b"q" * 70000, b"q" * 70001), (b"", b"new")]:
         assert apply_delta(base, encode_delta(base, target)) == target
+
+
+def test_fanout_counts_before_it_joins(spark):
+    from dagstore.operators import policy
+
+    hooks = spark.createDataFrame([(1, 7, [], True), (1, 7, ["a"], True), (2, 7, ["b", "c"], True), (3, 7, [], False), (4, 8, ["z"], True)], "id bigint, tenant_id int, events array<string>, active boolean")
+    events = spark.createDataFrame([(7, "a"), (7, "a"), (7, "b"), (7, None), (8, "a"), (None, "a")], "tenant_id int, kind string")
+    found = policy.webhook_counts(hooks, events)
+    assert {tuple(r) for r in found.collect()} == {(1, 6), (2, 1)}
+    plan = catalogue.QUERIES["webhook_fanout"](spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.rindex("Aggregate")  # events are counted below the join
