@@ -20,10 +20,34 @@ def increases(samples: DataFrame, series: list[str], value: str = "value") -> Da
     return samples.withColumn("increase", up.cast("double"))
 
 
+def trailing_sum(samples: DataFrame, series: list[str], seconds: int, value: str, out: str) -> DataFrame:
+    """Adds the sum of value over the window that ends at each sample, those of the same time included.
+
+    Time is cut into spans of a window's length, so a window is the part of its own span up to the sample, and that of
+    the span before after the sample's time less the window.  Both are running sums within a span: each row is added
+    once however many share a window, and a series meets in as many tasks as it has spans.  Nothing is subtracted.
+    """
+    width = seconds * SECOND
+    span = F.floor(F.col("ts_us") / width).cast("bigint")
+    points = samples.select(*series, "ts_us", span.alias("__span"), value).groupBy(*series, "__span", "ts_us").agg(F.sum(value).alias("__sum"))
+    points = points.withColumn("__at", F.col("ts_us"))
+    asked = points.filter("ts_us is not null").select(*series, (F.col("__span") - 1).alias("__span"), "ts_us", F.lit(None).cast(dict(points.dtypes)["__sum"]).alias("__sum"), (F.col("ts_us") - width).alias("__at"))
+    both = points.withColumn("__own", F.lit(True)).unionByName(asked.withColumn("__own", F.lit(False)))
+    w = Window.partitionBy(*series, "__span")
+    until = F.sum("__sum").over(w.orderBy("__at").rangeBetween(Window.unboundedPreceding, 0))
+    after = F.sum("__sum").over(w.orderBy((-F.col("__at")).alias("__back")).rangeBetween(Window.unboundedPreceding, -1))
+    sums = both.withColumns({"__until": until, "__after": after}).select(*series, "ts_us", F.when(F.col("__own"), F.col("__until")).otherwise(F.col("__after")).alias("__part"))
+    sums = sums.groupBy(*series, "ts_us").agg(F.sum("__part").alias(out))
+    keys = [*series, "ts_us"]
+    sums = sums.select(*[F.col(k).alias(f"__{k}") for k in keys], out)
+    on = [samples[k].eqNullSafe(sums[f"__{k}"]) for k in keys]
+    return samples.join(sums, on, "left").drop(*[f"__{k}" for k in keys])
+
+
 def rate(samples: DataFrame, series: list[str], seconds: int, value: str = "value", out: str = "rate") -> DataFrame:
     """Adds the rate over the window that ends at each sample."""
-    w = Window.partitionBy(*series).orderBy("ts_us").rangeBetween(-seconds * SECOND + 1, 0)
-    return increases(samples, series, value).withColumn(out, F.sum("increase").over(w) / seconds).drop("increase")
+    summed = trailing_sum(increases(samples, series, value), series, seconds, "increase", out)
+    return summed.withColumn(out, F.col(out) / seconds).drop("increase")
 
 
 def rate_at(samples: DataFrame, series: list[str], seconds: int, step: int, value: str = "value", out: str = "rate") -> DataFrame:
@@ -66,8 +90,7 @@ def changes(samples: DataFrame, series: list[str], seconds: int, value: str = "v
     order = Window.partitionBy(*series).orderBy("ts_us", "offset")
     before = F.lag(value).over(order)
     marked = samples.withColumn("__changed", F.when(before.isNotNull() & (before != F.col(value)), 1).otherwise(0))
-    w = Window.partitionBy(*series).orderBy("ts_us").rangeBetween(-seconds * SECOND + 1, 0)
-    return marked.withColumn("changes", F.sum("__changed").over(w)).drop("__changed")
+    return trailing_sum(marked, series, seconds, "__changed", "changes").drop("__changed")
 
 
 def held_for(points: DataFrame, series: list[str], condition: Column, at: str, duration: int) -> DataFrame:

@@ -150,3 +150,22 @@ def test_fanout_counts_before_it_joins(spark):
     assert {tuple(r) for r in found.collect()} == {(1, 6), (2, 1)}
     plan = catalogue.QUERIES["webhook_fanout"](spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.rindex("Aggregate")  # events are counted below the join
+
+
+def test_windows_are_sums_of_spans(spark, sf_dir):
+    import random
+
+    from dagstore.operators import monitor
+
+    r = random.Random(3)
+    second = monitor.SECOND
+    times = [r.randrange(-30 * second, 90 * second) for _ in range(150)] + [k * 10 * second + j for k in range(-2, 8) for j in (-1, 0, 0, 1)] + [None, None]
+    rows = [(r.choice(["a", "b", None]), k, t, r.choice([None, 1.0, 2.0, 5.0])) for k, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "name string, offset bigint, ts_us bigint, value double")
+    found = {x.offset: x["sum"] for x in monitor.trailing_sum(df, ["name"], 10, "value", "sum").collect()}
+    for name, offset, t, _ in rows:
+        held = [v for n, _, u, v in rows if n == name and v is not None and ((u is None) if t is None else u is not None and t - 10 * second < u <= t)]
+        assert found[offset] == (sum(held) if held else None)
+    for query, frame in (("changes_over_window", 86_400), ("rate_by_label", 3600)):  # no row adds up its whole window again
+        plan = catalogue.QUERIES[query](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "RangeFrame" in plan and f"-{frame * second - 1}" not in plan
