@@ -49,26 +49,33 @@ def select_deltas(ranked: DataFrame, window: int = WINDOW, depth: int = DEPTH, b
     Down the order, each object takes the base among the window before it that gives the smallest delta, smaller than
     itself, in a chain of at most depth; it is stored if it is smaller still when compressed.  The order is cut into
     runs of block objects, each one task that also reads the window before its run, so no boundary loses a base.  A run
-    can't know how long the chains before it are, so it tells every base that would serve, smallest delta first; an
-    ordered fold over these numbers, one task a type without contents, then takes the first whose chain has room.
+    can't know how long the chains before it are, so it tells the bases with a smaller delta, smallest first, down to one
+    whose chain has room however long those are; an ordered fold over these numbers, one task a type without contents,
+    then takes the first whose chain has room.
     """
     last = F.floor((F.col("rank") - 1 + window) / block)
     read = ranked.select("git_type", "rank", "id", "content", F.explode(F.sequence(F.floor((F.col("rank") - 1) / block), last)).alias("run"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
-        recent: deque[delta.DeltaIndex] = deque(maxlen=window)  # nearest first
+        recent = delta.DeltaWindow(window)
+        longest: deque[int] = deque(maxlen=window)  # what the chains of the window may have at most, nearest first
         for row in pdf.sort_values("rank").itertuples():
-            content = bytes(row.content or b"")
+            content, most = bytes(row.content or b""), depth
             if (row.rank - 1) // block == row.run:
-                grams, whole, found = delta.grams(content), len(zlib.compress(content)), []
-                for distance, index in enumerate(recent, 1):
-                    d = index.encode(content, grams)
-                    if len(d) < len(content):
-                        found.append((len(d), distance, len(zlib.compress(d)) < whole and delta.apply_delta(index.base, d) == content))
-                sizes, distances, serves = zip(*sorted(found), strict=True) if found else ((), (), ())
+                most, whole, tried = 0, None, []
+                for size, distance, base, d in sorted(((len(d), distance, base, d) for distance, base, d in recent.encode(content) if len(d) < len(content)), key=lambda x: x[:2]):
+                    whole = len(zlib.compress(content)) if whole is None else whole
+                    good = len(zlib.compress(d)) < whole and delta.apply_delta(base, d) == content
+                    tried.append((distance, size, good))
+                    if good:
+                        most = max(most, min(depth, longest[distance - 1] + 1))
+                    if longest[distance - 1] < depth:  # its chain has room for certain: none after it can be taken
+                        break
+                distances, sizes, serves = zip(*tried, strict=True) if tried else ((), (), ())
                 out.append((row.git_type, row.rank, row.id, list(distances), list(sizes), list(serves)))
-            recent.appendleft(delta.DeltaIndex(content))
+            recent.push(content)
+            longest.appendleft(most)
         return pd.DataFrame(out, columns=["git_type", "rank", "id", "distances", "sizes", "serves"])
 
     kind = dict(ranked.dtypes)

@@ -55,3 +55,21 @@ def test_registered_window(spark, sf_dir):
     expected = brute_force(rows, 250, 50)
     assert expected != brute_force(rows, 10, 50)
     assert {tuple(x) for x in catalogue.QUERIES["delta_selection"](spark, sf_dir).collect()} == expected
+
+
+def test_window_gives_the_deltas_of_all_bases():
+    from dagstore.functions.delta import DeltaWindow
+
+    r, window, near = random.Random(8), DeltaWindow(7), []
+    texts = [b"", b"short", b"a" * 400, b"exactly 16 bytes", *(bytes(r.choice(b"abc") for _ in range(r.randrange(20, 300))) for _ in range(20))]
+    texts += [t[:k] + b"new" + t[k:] for t in texts for k in (0, len(t) // 2)]
+    r.shuffle(texts)
+    for text in texts:
+        found = {distance: (base, d) for distance, base, d in window.encode(text)}
+        for distance, base in enumerate(near, 1):
+            d = encode_delta(base, text)
+            assert found.get(distance, (base, d)) == (base, d)
+            assert distance in found or len(d) > len(text)  # left out are those that only insert
+        window.push(text)
+        near = [text, *near][:7]
+    assert set().union(*(i.places for i in window.bases)) == set(window.owners) and window.prints.sum() == sum(len(x) // 16 for x in near)
