@@ -11,7 +11,7 @@ from dagstore.operators import graph, leases, monitor, pack, reflog
 from dagstore.plans import fixtures as fx
 from dagstore.plans.fixtures import sql
 from dagstore.plans.registry import query, table
-from dagstore.session import materialize, shared_dir
+from dagstore.session import materialize, shared_dir, small_batches
 from dagstore.sources import frames, packs, upstream
 
 TEXTS = "SELECT doc_id, text FROM documents WHERE text IS NOT NULL"
@@ -19,6 +19,7 @@ BLOB = "sha1('blob ' || octet_length(encode(text)) || chr(0) || text)"
 
 
 def texts(spark, d):
+    small_batches(spark)  # of whole texts
     return table(spark, d, "documents").filter("text is not null").select("doc_id", F.col("text").cast("binary").alias("content"))
 
 

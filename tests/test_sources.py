@@ -5,6 +5,7 @@ import random
 import struct
 import zlib
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -249,3 +250,18 @@ def test_alert_rules(spark):
     assert alerts.alerts(lower, {k: r for k, r in alerts.RULES.items() if r["kind"] in ("rate", "difference") and r["above"] >= 1}, 15).isEmpty()
     gap = spark.createDataFrame([("up", i, k, t * 1_000_000, 0.0) for k, t in enumerate([0, 15, 30, 600, 615])], df.schema)
     assert alerts.alerts(gap, {"d": {"kind": "gauge", "metric": "up", "is": 0, "for": 400}}, 15).isEmpty()  # stale after 300 s, so it begins anew
+
+
+@pytest.mark.parametrize("name", ["pack_round_trip", "pack_index", "inflate_bounded", "thin_pack", "delta_round_trip", "content_hash"])
+def test_whole_texts_come_in_small_batches(spark, sf_dir, name):
+    from dagstore.plans import catalogue
+    from dagstore.session import ARROW_BYTES, ARROW_ROWS
+
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": ARROW_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": ARROW_BYTES}
+    for key in settings:
+        spark.conf.unset(key)
+    catalogue.QUERIES[name](spark, sf_dir)
+    assert {key: int(spark.conf.get(key)) for key in settings} == settings
+    rows = spark.range(5000, numPartitions=1).select("id", F.repeat(F.lit("x"), 20000).alias("text"))
+    sizes = [r.n for r in rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n bigint").collect()]
+    assert sum(sizes) == 5000 and max(sizes) * 20000 <= 2 * ARROW_BYTES  # the bytes count as well as the rows
