@@ -76,6 +76,14 @@ def shard_of_key(key: Column, shards: int) -> Column:
     return (((h["hi"] % shards) * ((1 << 32) % shards) + h["lo"] % shards) % shards).cast("int")
 
 
+def shard_number(key: str, shards: int) -> int:
+    """shard_of_key of one key, in plain Python."""
+    h = 0xCBF29CE484222325
+    for byte in key.encode():
+        h = (h ^ byte) * 0x100000001B3 % (1 << 64)
+    return h % shards
+
+
 def shard_for(name: Column, shards: int) -> Column:
     return shard_of_key(namespace_key(name), shards)
 

@@ -83,12 +83,13 @@ def export_branches(refs: DataFrame, wanted: list[str] | None = None) -> DataFra
 
 def cluster_list(per_shard: DataFrame, prefix: str, shards: int) -> DataFrame:
     """Refs under a prefix from all shards that may have some (shard, name, target), one of each name, in order."""
-    from dagstore.functions.hashing import prefix_shard, shard_of_key
+    from dagstore.functions.hashing import prefix_shard, shard_number
 
-    out = per_shard.filter(F.startswith("name", F.lit(prefix)))
+    under = F.startswith("name", F.lit(prefix))
+    out = per_shard.filter(under)
     key = prefix_shard(prefix)
-    if key is not None:
-        out = out.filter(F.col("shard") == shard_of_key(F.lit(key), shards))
+    if key is not None:  # a shard that is worked out from names is so only for those under the prefix
+        out = out.filter(F.when(under, F.col("shard")) == shard_number(key, shards))
     return out.groupBy("name").agg(F.min("target").alias("target")).orderBy("name")
 
 

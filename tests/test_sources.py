@@ -265,3 +265,16 @@ def test_whole_texts_come_in_small_batches(spark, sf_dir, name):
     rows = spark.range(5000, numPartitions=1).select("id", F.repeat(F.lit("x"), 20000).alias("text"))
     sizes = [r.n for r in rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n bigint").collect()]
     assert sum(sizes) == 5000 and max(sizes) * 20000 <= 2 * ARROW_BYTES  # the bytes count as well as the rows
+
+
+def test_cluster_list_works_out_few_shards(spark):
+    from dagstore.functions import hashing
+    from dagstore.operators import storage
+
+    key = "tenants/t1"
+    assert [hashing.shard_number(key, n) for n in (4, 7)] == list(spark.range(1).select(*[hashing.shard_of_key(F.lit(key), n) for n in (4, 7)]).first())
+    names = spark.createDataFrame([("refs/tenants/t1/heads/a", "x"), ("refs/tenants/t1/heads/a", "w"), ("refs/workspaces/b/heads/main", "y"), ("refs/tenants/t12/a", "z")], "name string, target string")
+    # a shard that fails for any name elsewhere is never asked for
+    shard = F.when(F.startswith("name", F.lit("refs/tenants/t1/")), hashing.shard_for(F.col("name"), 4)).otherwise(F.raise_error(F.lit("asked")).cast("int"))
+    found = storage.cluster_list(names.withColumn("shard", shard), "refs/tenants/t1/", 4)
+    assert [tuple(r) for r in found.collect()] == [("refs/tenants/t1/heads/a", "w")]
