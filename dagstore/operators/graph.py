@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from dagstore.session import discard, materialize
 
 MERGE = 8
+CODEC = "zstd"  # of the tables written: ids are alike, and there may be as many rows as traversals times ids
 
 
 def closure(edges: DataFrame, seeds: DataFrame, exclude: DataFrame | None = None, max_depth: int | None = None, tags: Sequence[str] = ()) -> DataFrame:
@@ -28,25 +29,25 @@ def closure(edges: DataFrame, seeds: DataFrame, exclude: DataFrame | None = None
     Seeds count even if no edge or object knows them.  What is in exclude (id) is neither entered nor passed through.
     """
     keys = [*tags, "id"]
-    edges = materialize(edges.select("src", "dst"), "edges")
-    barred = None if exclude is None else materialize(exclude.select("id").distinct(), "barred")
+    edges = materialize(edges.select("src", "dst"), "edges", CODEC)
+    barred = None if exclude is None else materialize(exclude.select("id").distinct(), "barred", CODEC)
 
     def admit(df: DataFrame) -> DataFrame:
         return df if barred is None else df.join(barred, "id", "left_anti")
 
-    level = materialize(admit(seeds.select(*keys).distinct()).withColumn("depth", F.lit(0)), "closure")
+    level = materialize(admit(seeds.select(*keys).distinct()).withColumn("depth", F.lit(0)), "closure", CODEC)
     parts: list[list[DataFrame]] = [[level]]  # tables of one round, of MERGE rounds, of MERGE ** 2 rounds, ...
     depth = 0
     while (max_depth is None or depth < max_depth) and not level.isEmpty():
         depth += 1
         step = admit(level.join(edges, level.id == edges.src).select(*tags, F.col("dst").alias("id")).distinct())
-        level = materialize(step.join(_union(parts).select(*keys), keys, "left_anti").withColumn("depth", F.lit(depth)), "closure")
+        level = materialize(step.join(_union(parts).select(*keys), keys, "left_anti").withColumn("depth", F.lit(depth)), "closure", CODEC)
         parts[0].append(level)
         for k in range(len(parts)):
             if len(parts[k]) <= MERGE:
                 break
             *old, last = parts[k]  # the last may be the frontier
-            merged = materialize(_union([old]), "closure")
+            merged = materialize(_union([old]), "closure", CODEC)
             discard(*old)
             parts[k] = [last]
             if k + 1 == len(parts):
